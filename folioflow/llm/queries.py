@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import packing, planes, prefix_counts, rules, simhash, storage, urlfilter
+from folioflow.llm import flatgraph, mixing, ordinal, packing, planes, prefix_counts, rules, simhash, storage, urlfilter
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = [
@@ -20,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.classify(documents(spark, sf_dir), ordinal.load_labels(spark, sf_dir))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
@@ -40,9 +44,18 @@ def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cascade(documents(spark, sf_dir), measures=True)
 
 
+def op8_flat_graph_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.link(storage.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op9_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(storage.read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op6_sum_of_squares_packing, op7_rule_cascade, op9_url_range_join)}
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return mixing.rates(docs, mixing.labelled_by_lang(docs, ordinal.load_labels(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing)}
 ORACLE_SQL: dict[str, str] = {}
