@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import flatgraph, mixing, ordinal, packing, planes, prefix_counts, rules, simhash, storage, urlfilter
+from folioflow.llm import flatgraph, mixing, ordinal, packing, planes, prefix_counts, rules, simhash, storage, suffix, urlfilter
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = [
@@ -36,6 +36,10 @@ def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(planes.write(documents(spark, sf_dir), storage.fresh_path(spark, "planes"), end_id=2))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(documents(spark, sf_dir))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), end_id=1)
 
@@ -57,5 +61,5 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(docs, mixing.labelled_by_lang(docs, ordinal.load_labels(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op5_suffix_array_dedup, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing)}
 ORACLE_SQL: dict[str, str] = {}

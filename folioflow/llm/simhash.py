@@ -150,4 +150,5 @@ def one_of_each(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; of rows that repeat an id, all or none."""
     id_col = options.get("id_col", "doc_id")
     keep = groups(df, **options).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(keep, id_col, "left_semi")
+    # the short side is hashed, so texts are dealt out but not sorted
+    return df.join(keep.hint("shuffle_hash"), id_col, "left_semi")
