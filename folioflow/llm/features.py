@@ -1,8 +1,10 @@
 """Hashed text features for the two linear models.
 
-A feature is a lower-cased run of letters, a digit, a run of symbols, or "the
-same word again", hashed into a fixed number of slots. Only distinct pieces of
-a batch are hashed. A document's value for a slot is log(1 + occurrences).
+A feature is a lower-cased run of letters, its first four letters if it has
+more, a digit, a run of symbols, or "the same word again", hashed into a fixed number of slots. Only distinct pieces of
+a batch are hashed. A document's value for a slot of letters or digits is
+log(1 + occurrences); for a slot of symbols and for repeated words it is three
+times the root of their share of the words, so that long texts do not gather it.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ SLOTS = 1 << 18
 
 
 def slots_of(pieces: list[str]) -> np.ndarray:
+    """Even slots for runs of letters and digits, odd ones for symbols."""
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(p) % SLOTS for p in pieces), np.int32, len(pieces))
+    return np.fromiter((h(p) % SLOTS & ~1 | (not p[:1].isalnum()) for p in pieces), np.int32, len(pieces))
 
 
 AGAIN = int(slots_of(["\x00again"])[0])
@@ -36,26 +39,29 @@ def occurrences(texts: pa.Array, cutter: T.WordBpe, keep: np.ndarray | None = No
     if not len(codes):
         return np.zeros(0, np.int32), np.zeros(0, np.int32), n_words
     pieces, flat, n_pieces, odd = cutter.cut_words(words)
-    slot = slots_of(pieces.to_pylist())[flat] if len(flat) else np.zeros(0, np.int32)
+    texts_of = pieces.to_pylist()
+    heads = slots_of([p[:4] + "-" for p in texts_of])
+    heads[[len(p) <= 4 or not p[0].isalpha() for p in texts_of]] = -1
+    slot = np.stack([slots_of(texts_of), heads], 1)[flat].ravel() if len(flat) else np.zeros(0, np.int32)
+    n_pieces = 2 * n_pieces
     if odd:  # words of other scripts are one piece each
         at = np.cumsum(n_pieces)[odd] - n_pieces[odd]
         slot = np.insert(slot, at, slots_of([w.lower() for w in words.take(pa.array(odd)).to_pylist()]))
-        n_pieces = n_pieces.copy()
         n_pieces[odd] = 1
-    if keep is not None:
-        wanted = keep[slot]
-        n_pieces = T.sums(wanted.astype(np.int64), n_pieces)
-        slot = slot[wanted]
+    wanted = slot >= 0 if keep is None else keep[slot] & (slot >= 0)
+    n_pieces = T.sums(wanted.astype(np.int64), n_pieces)
+    slot = slot[wanted]
     doc = np.repeat(np.arange(n, dtype=np.int32), n_words)
-    got, spread = T.gather(slot, n_pieces.astype(np.int64), codes)
+    got, spread = T.gather(slot, n_pieces, codes)
     again = np.flatnonzero((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) + 1
     return np.concatenate([np.repeat(doc, spread), doc[again]]), np.concatenate([got, np.full(len(again), AGAIN, np.int32)]), n_words
 
 
-def grouped(doc: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, slot) pairs in order, with log(1 + count)."""
+def grouped(doc: np.ndarray, slot: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, slot) pairs in order, with their values."""
     key, n = np.unique(doc.astype(np.int64) * SLOTS + slot, return_counts=True)
-    return (key // SLOTS).astype(np.int32), (key % SLOTS).astype(np.int32), np.log1p(n).astype(np.float32)
+    d, s = (key // SLOTS).astype(np.int32), (key % SLOTS).astype(np.int32)
+    return d, s, np.where(s & 1, 3 * np.sqrt(n / np.maximum(n_words[d], 1)), np.log1p(n)).astype(np.float32)
 
 
 class LinearScores:
@@ -69,7 +75,7 @@ class LinearScores:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(texts, columns) scores and words per text."""
         doc, slot, n_words = occurrences(texts, self.cutter, self.keep)
-        d, s, x = grouped(doc, slot)
+        d, s, x = grouped(doc, slot, n_words)
         out = np.stack([np.bincount(d, x * self.weights[s, k], len(n_words)) for k in range(self.weights.shape[1])], 1)
         return out, n_words
 
@@ -90,7 +96,7 @@ def training_rows(sample: DataFrame, label_col: str, tokenizer: str, least_docs:
         for batch in batches:
             for part in T.slices(batch, limit=4 << 20):
                 doc, slot, n_words = occurrences(part.column("text"), cutter)
-                d, s, x = grouped(doc, slot)
+                d, s, x = grouped(doc, slot, n_words)
                 edge = np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(v)) for v in (s, x)]
                 yield pa.record_batch([part.column("label"), *lists], ["label", "slots", "vals"])
@@ -113,8 +119,8 @@ def training_rows(sample: DataFrame, label_col: str, tokenizer: str, least_docs:
     return row[use][order], slot[use][order], val[use][order], label
 
 
-def adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> None:
-    """Full-batch Adam in place; ``gradient(params)`` returns one gradient per array."""
+def adam(params: list[np.ndarray], gradient, steps: int, rate: float, project=None) -> None:
+    """Full-batch Adam in place; ``gradient(params)`` returns one gradient per array, ``project(params)`` follows each step."""
     m = [np.zeros_like(p) for p in params]
     v = [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
@@ -122,3 +128,5 @@ def adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> None:
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+        if project is not None:
+            project(params)
