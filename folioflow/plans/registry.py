@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.plans import documents
+from folioflow.plans import analytics, documents, intake
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (documents,):
+for _module in (documents, intake, analytics):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
