@@ -8,8 +8,8 @@ document of smaller id, or earlier in the same document. The work is exact:
     window can only repeat if its anchor does. Tasks deal out the anchors of
     their texts by hash, one entry for each distinct anchor of a slice, and
     learn which ones occur twice or more anywhere.
-2.  Contexts. A repeated anchor brings the 168 bytes that hold all windows
-    around it. Contexts are dealt out by anchor; anchors with very many
+2.  Contexts. A repeated anchor brings the bytes of the windows that picked it,
+    168 at most. Contexts are dealt out by anchor; anchors with very many
     contexts are split over several shards.
 3.  Shards. A shard sorts the suffixes of its distinct contexts by
     Larsson-Sadakane refinement, finds common prefixes by Kasai's rule, all
@@ -31,7 +31,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +49,7 @@ TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 POWERS = np.array([pow(RADIX, GRAM - 1 - j, 2**64) for j in range(GRAM)], np.uint64)
 CONTEXT_POWERS = np.array([pow(0xC2B2AE3D27D4EB4F, j + 1, 2**64) for j in range(CONTEXT)], np.uint64)
 #: Anchors with more occurrences than this are split over shards.
-HOT = 8192
+HOT = 24_576
 SHARD_BYTES = 3 << 20
 
 
@@ -85,7 +84,10 @@ def sliding(x: np.ndarray, width: int, what) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of one text: every 32-byte string that is smallest in some window, ties included."""
+    """Anchors of one text and their hashes. An anchor owns the windows in which it has the smallest hash, of equal ones the last; they are neighbours.
+
+    An anchor is packed as place * 2^16 + (place - first window) * 2^8 + (place - last window).
+    """
     if len(data) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(data)
@@ -93,7 +95,27 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least = sliding(h, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(h == sliding(np.concatenate([pad, least, pad]), width, np.maximum))
-    return at, h[at]
+    own = h[at]
+    lo, hi = np.maximum(at - REACH, 0), np.minimum(at, len(data) - WINDOW)
+    for k in range(1, width + 1):  # neighbours that are smaller, or equal and later, bound the windows
+        if k >= len(at):
+            break
+        near = np.flatnonzero(at[k:] - at[:-k] <= REACH)
+        if not len(near):
+            break
+        i, j = near, near + k
+        less = own[i] < own[j]
+        np.maximum.at(lo, j[less], at[i[less]] + 1)
+        np.minimum.at(hi, i[~less], at[j[~less]] - width)
+    use = lo <= hi
+    at, lo, hi = at[use], lo[use], hi[use]
+    return at << 16 | (at - lo) << 8 | (at - hi), own[use]
+
+
+def unpack(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, first and last window."""
+    at = code >> 16
+    return at, at - (code >> 8 & 255), at - (code & 255)
 
 
 # -- suffix arrays -------------------------------------------------------------
@@ -111,7 +133,10 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | np.where(to_gap >= k, padded[k : k + n], 0).astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
+    short = np.flatnonzero(to_gap[sa] < 8)
+    ends = sa[short]
+    sa[short] = ends[np.lexsort((ends, key[ends]))]
     new = np.ones(n, bool)
     new[1:] = (key[sa][1:] != key[sa][:-1]) | (to_gap[sa][1:] < 8)
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -123,39 +148,37 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         if not len(slots):
             return sa
         pos = sa[slots]
-        after = rank[pos + h]
-        order = np.lexsort((after, group[slots]))
-        pos, after = pos[order], after[order]
+        both = group[slots] << 32 | rank[pos + h]
+        order = np.argsort(both)
+        pos, both = pos[order], both[order]
         sa[slots] = pos
         first = np.ones(len(slots), bool)
-        first[1:] = (after[1:] != after[:-1]) | (group[slots][1:] != group[slots][:-1])
+        first[1:] = both[1:] != both[:-1]
         new[slots] = first
         group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank[pos] = group[slots]
         h *= 2
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with its predecessor in ``sa``, up to ``most`` bytes, by Kasai's rule: one step to the right loses at most one byte.
+def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix of suffixes with their predecessors in ``sa``, up to ``most`` bytes, by Kasai's rule: one step to the right loses at most one byte.
 
-    The runs of text that begin at ``starts`` are walked together.
+    Runs of ``lengths`` suffixes that begin at ``starts`` are walked together; 0 elsewhere.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     lcp = np.zeros(n, np.int64)
-    ends = np.append(starts[1:], n)
     padded = np.concatenate([data, np.zeros(most + 1, np.uint8)])
     held = np.zeros(len(starts), np.int64)
-    for step in range(int((ends - starts).max(initial=0))):
-        run = np.flatnonzero(starts + step < ends)
+    for step in range(int(lengths.max(initial=0))):
+        run = np.flatnonzero(step < lengths)
         i = starts[run] + step
         j = before[i]
         h = np.maximum(held[run] - 1, 0)
         grow = np.flatnonzero((j >= 0) & (h < most))
         while len(grow):
-            same = (padded[i[grow] + h[grow]] == padded[j[grow] + h[grow]]) & (i[grow] + h[grow] < n) & (j[grow] + h[grow] < n)
-            grow = grow[same]
+            grow = grow[padded[i[grow] + h[grow]] == padded[j[grow] + h[grow]]]
             h[grow] += 1
             grow = grow[h[grow] < most]
         h[j < 0] = 0
@@ -164,19 +187,38 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most:
     return lcp
 
 
-def equal_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the contexts, as (context, offset, group): equal windows have equal groups."""
-    data = np.frombuffer(bytes([GAP]).join(contexts) + bytes([GAP]), np.uint8)
-    size = np.array([len(c) for c in contexts], np.int64)
+def equal_windows(contexts: pa.Array) -> tuple[np.ndarray, ...]:
+    """All windows of the contexts: their places in the joined bytes, contexts, offsets and groups, and the joined bytes. Equal windows have equal groups.
+
+    Between two equal windows the order holds only windows equal to both, so
+    neighbours suffice.
+    """
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(contexts)], pa.int32()), contexts), bytes([GAP]))[0].as_py() + bytes([GAP])
+    data = np.frombuffer(joined, np.uint8)
+    size = pc.binary_length(contexts).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.cumsum(size + 1) - size - 1
+    lengths = np.maximum(size - WINDOW + 1, 0)
     sa = suffix_array(data)
-    lcp = common_prefixes(data, sa, starts, WINDOW)
-    owner = np.repeat(np.arange(len(contexts)), size + 1)
+    lcp = common_prefixes(data, sa, starts, lengths, WINDOW)
+    owner = np.repeat(np.arange(len(size)), size + 1)
     offset = np.arange(len(data)) - starts[owner]
-    whole = (offset + WINDOW <= size[owner])[sa]
-    group = np.cumsum(lcp[sa] < WINDOW)
-    at = sa[whole]
-    return owner[at], offset[at], group[whole]
+    at = sa[offset[sa] < lengths[owner[sa]]]
+    return at, owner[at], offset[at], np.cumsum(lcp[at] < WINDOW), data
+
+
+def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the windows at the given places."""
+    keys = []
+    for radix in (RADIX, 0xC2B2AE3D27D4EB4F):
+        h, step, parts = TABLE[data], 1, {}
+        while step <= 64:
+            parts[step] = h
+            if step < 64:
+                h = h[:-step] * np.uint64(pow(radix, step, 2**64)) + h[step:]
+            step *= 2
+        k = parts[64][at] * np.uint64(pow(radix, 36, 2**64)) + parts[32][at + 64] * np.uint64(pow(radix, 4, 2**64)) + parts[4][at + 96]
+        keys.append(finish(k).view(np.int64))
+    return keys[0], keys[1]
 
 
 # -- stage 1: repeated anchors ---------------------------------------------------
@@ -202,9 +244,9 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
                 for k in range(part.num_rows):
                     p, h = anchors(data[off[k] : off[k + 1]])
                     doc.append(np.full(len(p), k, np.int32))
-                    at.append(p.astype(np.int32))
+                    at.append(p)
                     hs.append(h)
-                doc, at, hs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, at, hs))
+                doc, at, hs = (np.concatenate(x) for x in (doc, at, hs))
                 if not len(hs):
                     continue
                 size = np.diff(off)
@@ -228,7 +270,7 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
                     r = rep[to[cut[k] : cut[k + 1]]]
                     d, back = np.unique(doc[r], return_inverse=True)
                     head = np.array([len(r), len(d)], np.int64)
-                    parts = [head, hs[r], ids[d], own[d], size[d].astype(np.int64), back.astype(np.int32), at[r].astype(np.int32), np.minimum(n[to[cut[k] : cut[k + 1]]], 2**31 - 1).astype(np.int32)]
+                    parts = [head, hs[r], ids[d], own[d], size[d].astype(np.int64), back.astype(np.int32), at[r], np.minimum(n[to[cut[k] : cut[k + 1]]], 2**31 - 1).astype(np.int32)]
                     rows.append((k, 1, 0, 0, 0, b"".join(map(_u, parts))))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "kind", "doc_id", "h", "n", "blob"])
 
@@ -256,7 +298,7 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
         for b in blobs:
             m, d = np.frombuffer(b, np.int64, 2).tolist()
             p = 16
-            for store, kind, k in ((hs, np.uint64, m), (ids, np.int64, d), (own, np.int64, d), (size, np.int64, d), (doc, np.int32, m), (at, np.int32, m), (n, np.int32, m)):
+            for store, kind, k in ((hs, np.uint64, m), (ids, np.int64, d), (own, np.int64, d), (size, np.int64, d), (doc, np.int32, m), (at, np.int64, m), (n, np.int32, m)):
                 store.append(np.frombuffer(b, kind, k, p))
                 p += store[-1].nbytes
             doc[-1] = doc[-1].astype(np.int64) + base
@@ -289,111 +331,141 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
 
 # -- stages 2 to 4: contexts, shards, merging --------------------------------------
 def contexts(found: DataFrame) -> DataFrame:
-    """found: doc_id, h, text, places (array of blobs). One row for each repeated anchor, equal contexts of a slice once."""
+    """found: doc_id, h, text, places (array of blobs). One row for each repeated anchor: the bytes of the windows that it owns. Of equal contexts of a slice only the first is kept."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, limit=16 << 20):
                 ids, own = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
                 off, data = T.buffers(part.column("text"))
-                places = [np.unique(np.frombuffer(b"".join(p), np.int32)).astype(np.int64) for p in part.column("places").to_pylist()]
+                places = [np.unique(np.frombuffer(b"".join(p), np.int64)) for p in part.column("places").to_pylist()]
                 doc = np.repeat(np.arange(part.num_rows), [len(p) for p in places])
-                at = np.concatenate(places) if places else np.zeros(0, np.int64)
+                code = np.concatenate(places)
                 rank = np.lexsort((own, ids))
                 turn = np.empty(len(rank), np.int64)
                 turn[rank] = np.arange(len(rank))
-                for lo in range(0, len(at), 1 << 16):
-                    d, p = doc[lo : lo + (1 << 16)], at[lo : lo + (1 << 16)]
-                    begin, end = off[d], off[d + 1]
-                    where = (begin + p)[:, None] + np.arange(-REACH, WINDOW)
-                    inside = (where >= begin[:, None]) & (where < end[:, None])
-                    rows = np.where(inside, data[np.clip(where, 0, len(data) - 1)], GAP).astype(np.uint8)
+                for lo in range(0, len(code), 1 << 15):
+                    d, c = doc[lo : lo + (1 << 15)], code[lo : lo + (1 << 15)]
+                    p, first, last = unpack(c)
+                    begin = off[d]
+                    size = last - first + WINDOW
+                    where = (begin + first)[:, None] + np.arange(CONTEXT)
+                    rows = np.where(np.arange(CONTEXT) < size[:, None], data[np.minimum(where, len(data) - 1)], GAP).astype(np.uint8)
                     anchor = hashes_at(data, begin + p)
-                    mark = finish((rows.astype(np.uint64) * CONTEXT_POWERS).sum(1, dtype=np.uint64))
-                    order = np.lexsort((p, turn[d], mark, anchor))
+                    mark = finish((rows * CONTEXT_POWERS).sum(1, dtype=np.uint64))
+                    order = np.lexsort((first, turn[d], mark, anchor))
                     same = np.zeros(len(order), bool)
                     same[1:] = (anchor[order][1:] == anchor[order][:-1]) & (mark[order][1:] == mark[order][:-1]) & (rows[order][1:] == rows[order][:-1]).all(1)
                     keep = order[~same]
-                    left = np.minimum(p[keep], REACH)
-                    texts = [r.tobytes().strip(b"\xff") for r in rows[keep]]
-                    yield pa.record_batch([anchor[keep].view(np.int64), pa.array(texts, pa.binary()), ids[d[keep]], own[d[keep]], p[keep].astype(np.int32), left.astype(np.int32)], ["anchor", "context", "doc_id", "h", "place", "left"])
+                    flat = rows[keep][np.arange(CONTEXT) < size[keep][:, None]]
+                    edge = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
+                    texts = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(edge), pa.py_buffer(flat)])
+                    yield pa.record_batch([pa.array(anchor[keep].view(np.int64)), texts, pa.array(ids[d[keep]]), pa.array(own[d[keep]]), pa.array(p[keep].astype(np.int32)), pa.array(first[keep].astype(np.int32))], ["anchor", "context", "doc_id", "h", "place", "first"])
 
-    return found.mapInArrow(cut, "anchor long, context binary, doc_id long, h long, place int, left int")
+    return found.mapInArrow(cut, "anchor long, context binary, doc_id long, h long, place int, first int")
 
 
-SHARD_SCHEMA = "doc_id long, h long, place int, covered array<int>, anchor long, key binary, start int, shard int"
+SHARD_NAMES = ["doc_id", "h", "place", "covered", "k1", "k2", "start", "shard"]
+SHARD_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+SHARD_SCHEMA = "doc_id long, h long, place int, covered array<int>, k1 long, k2 long, start int, shard int"
 
 
 def shard_results(dealt: DataFrame) -> DataFrame:
     """dealt: rows of ``contexts`` with shard and split, sorted by (anchor, shard).
 
-    Rows with null key: a first context and its covered starts [from, to, ...].
-    Rows with a key: a first window of a split anchor, to be merged.
+    Rows with null start: a context with windows that nothing precedes, and its
+    covered starts [from, to, ...]. Other rows: such a window of a split anchor,
+    to be merged with other shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             anchor, shard = batch.column("anchor").to_numpy(), batch.column("shard").to_numpy()
             begin = np.ones(len(anchor), bool)
             begin[1:] = (anchor[1:] != anchor[:-1]) | (shard[1:] != shard[:-1])
-            if held and len(anchor):
-                last = held[-1]
-                begin[0] = (last.column("anchor")[-1].as_py(), last.column("shard")[-1].as_py()) != (int(anchor[0]), int(shard[0]))
-            length = pc.binary_length(batch.column("context")).to_numpy(zero_copy_only=False)
-            cuts = np.append(np.flatnonzero(begin), len(anchor)).tolist()
-            if cuts and cuts[0]:
-                cuts = [0, *cuts]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if size > SHARD_BYTES and begin[a]:
+            begin[0] = last != (int(anchor[0]), int(shard[0]))
+            last = (int(anchor[-1]), int(shard[-1]))
+            total = np.cumsum(pc.binary_length(batch.column("context")).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            for k in np.flatnonzero(begin).tolist():  # a shard may end where a new anchor begins
+                here = size + int(total[k - 1] - (total[at - 1] if at else 0)) if k > at else size
+                if here > SHARD_BYTES:
+                    if k > at:
+                        held.append(batch.slice(at, k - at))
                     yield from solved(held)
-                    held, size = [], 0
-                held.append(batch.slice(a, b - a))
-                size += int(length[a:b].sum())
+                    held, size, at = [], 0, k
+            held.append(batch.slice(at))
+            size += int(total[-1] - (total[at - 1] if at else 0))
         if held:
             yield from solved(held)
 
     def solved(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
-        anchor, doc, own, place, left, shard, split = (t[c].to_numpy() for c in ("anchor", "doc_id", "h", "place", "left", "shard", "split"))
+        anchor, doc, own, place, first, shard, split = (t[c].to_numpy() for c in ("anchor", "doc_id", "h", "place", "first", "shard", "split"))
         code = t["context"].combine_chunks().dictionary_encode().indices.to_numpy()
-        order = np.lexsort((place, own, doc, left, code, anchor))
-        first = np.ones(len(order), bool)
-        first[1:] = (anchor[order][1:] != anchor[order][:-1]) | (code[order][1:] != code[order][:-1]) | (left[order][1:] != left[order][:-1])
-        use = order[first]  # the first place of each distinct context of an anchor
-        texts = t["context"].take(pa.array(use)).to_pylist()
-        anchor, doc, own, place, left, shard, split = (x[use] for x in (anchor, doc, own, place, left, shard, split))
-        where, offset, group = equal_windows(texts)
-        start = place[where] - left[where] + offset
-        order = np.lexsort((start, own[where], doc[where], group))
-        g = group[order]
-        head = np.ones(len(g), bool)
-        head[1:] = g[1:] != g[:-1]
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(g)), 0))]
-        is_first = np.empty(len(g), bool)
-        # one place may stand in several contexts, under several anchors: it is the same place
-        is_first[order] = (start[order] == start[lead]) & (doc[where][order] == doc[where][lead]) & (own[where][order] == own[where][lead])
-        fresh = np.bincount(where[is_first], minlength=len(use))  # windows of each context that nothing precedes
-        rows = np.lexsort((start, where))
-        cut = np.searchsorted(where[rows], np.arange(len(use) + 1))
-        out = []
-        for k in np.flatnonzero(fresh).tolist():
-            mine = rows[cut[k] : cut[k + 1]]
-            covered = np.zeros(0, np.int64)
-            if fresh[k] < len(mine):
-                gone = start[mine][~is_first[mine]]
-                step = np.flatnonzero(np.diff(gone) > 1)
-                covered = np.stack([gone[np.append(0, step + 1)], gone[np.append(step, len(gone) - 1)] + 1], 1).ravel()
-            out.append((int(doc[k]), int(own[k]), int(place[k]), covered.astype(np.int32), None, None, None, None))
-            if split[k] > 1:
-                for r in mine[is_first[mine]].tolist():
-                    window = texts[k][offset[r] : offset[r] + WINDOW]
-                    out.append((int(doc[k]), int(own[k]), int(place[k]), None, int(anchor[k]), hashlib.blake2b(window, digest_size=16).digest(), int(start[r]), int(shard[k])))
-        for lo in range(0, len(out), 50_000):
-            cols = zip(*out[lo : lo + 50_000], strict=True)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in SHARD_SCHEMA.split(", ")])
+        order = np.lexsort((first, own, doc, code, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (code[order][1:] != code[order][:-1])
+        use = order[new]  # the first place of each distinct context of an anchor
+        if len(use) > 1:  # an anchor with one context, not split, has nothing to compare
+            a = anchor[use]
+            lone = np.ones(len(a), bool)
+            lone[1:] &= a[1:] != a[:-1]
+            lone[:-1] &= a[:-1] != a[1:]
+        else:
+            lone = np.ones(len(use), bool)
+        lone &= split[use] == 1
+        alone, use = use[lone], use[~lone]
+        if len(alone):
+            none = pa.nulls(len(alone), pa.int64())
+            empty = pa.array([[]], SHARD_TYPES[3]).take(pa.array(np.zeros(len(alone), np.int64)))
+            cols = [pa.array(doc[alone]), pa.array(own[alone]), pa.array(place[alone]), empty, none, none, pa.nulls(len(alone), pa.int32()), pa.nulls(len(alone), pa.int32())]
+            yield pa.record_batch(cols, SHARD_NAMES)
+        if not len(use):
+            return
+        texts = t["context"].combine_chunks().take(pa.array(use))
+        doc, own, place, first, shard, split = (x[use] for x in (doc, own, place, first, shard, split))
+        at, where, offset, group, data = equal_windows(texts)
+        rank = np.lexsort((own, doc))  # documents in order, as numbers
+        turn = np.empty(len(rank), np.int64)
+        step = np.ones(len(rank), bool)
+        step[1:] = (doc[rank][1:] != doc[rank][:-1]) | (own[rank][1:] != own[rank][:-1])
+        turn[rank] = np.cumsum(step)
+        start = (first[where] + offset).astype(np.int64)
+        mine = turn[where] << 32 | start
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        least = np.minimum.reduceat(mine, head)
+        is_first = mine == np.repeat(least, np.diff(np.append(head, len(group))))
+        fresh = np.bincount(where[is_first], minlength=len(use))
+        # covered runs of every context
+        order = np.lexsort((start, where))
+        w, s, gone = where[order], start[order], ~is_first[order]
+        joined = np.zeros(len(w), bool)
+        joined[1:] = (w[1:] == w[:-1]) & (s[1:] == s[:-1] + 1)
+        opens = gone & ~(joined & np.append(False, gone[:-1]))
+        closes = gone & ~np.append(joined[1:] & gone[1:], False)
+        runs = np.stack([s[opens], s[closes] + 1], 1).astype(np.int32)
+        count = np.bincount(w[opens], minlength=len(use))
+        shown = fresh > 0
+        runs = runs[shown[w[opens]]].ravel()
+        edge = np.concatenate([[0], np.cumsum(2 * count[shown])]).astype(np.int32)
+        covered = pa.ListArray.from_arrays(pa.array(edge), pa.array(runs))
+        n = int(shown.sum())
+        none = pa.nulls(n, pa.int64())
+        yield pa.record_batch([pa.array(doc[shown]), pa.array(own[shown]), pa.array(place[shown]), covered, none, none, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], SHARD_NAMES)
+        hand = np.flatnonzero(is_first & (split[where] > 1))
+        if len(hand):
+            k1, k2 = window_keys(data, at[hand])
+            x = where[hand]
+            for lo in range(0, len(x), 100_000):
+                y = x[lo : lo + 100_000]
+                part = slice(lo, lo + 100_000)
+                cols = [pa.array(doc[y]), pa.array(own[y]), pa.array(place[y]), pa.nulls(len(y), SHARD_TYPES[3]), pa.array(k1[part]), pa.array(k2[part]), pa.array(start[hand][part].astype(np.int32)), pa.array(shard[y])]
+                yield pa.record_batch(cols, SHARD_NAMES)
 
     return dealt.mapInArrow(run, SHARD_SCHEMA)
 
@@ -405,8 +477,8 @@ def merge_shards(windows: DataFrame) -> DataFrame:
         rest = None
         for batch in batches:
             now = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            raw = np.frombuffer(b"".join(now.column("key").to_pylist()), ">u8").reshape(-1, 2)
-            cut = np.flatnonzero((raw[1:] != raw[:-1]).any(1))
+            k1, k2 = (now.column(c).to_numpy() for c in ("k1", "k2"))
+            cut = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
             end = int(cut[-1]) + 1 if len(cut) else 0
             if end:
                 yield merged(now.slice(0, end))
@@ -415,49 +487,54 @@ def merge_shards(windows: DataFrame) -> DataFrame:
             yield merged(rest)
 
     def merged(part: pa.RecordBatch) -> pa.RecordBatch:
-        doc, own, place, start, shard = (part.column(c).to_numpy() for c in ("doc_id", "h", "place", "start", "shard"))
-        raw = np.frombuffer(b"".join(part.column("key").to_pylist()), np.dtype([("a", ">u8"), ("b", ">u8")]))
-        order = np.lexsort((start, own, doc, raw["b"], raw["a"]))
+        doc, own, place, start, shard, k1, k2 = (part.column(c).to_numpy() for c in ("doc_id", "h", "place", "start", "shard", "k1", "k2"))
+        order = np.lexsort((start, own, doc, k2, k1))
         head = np.ones(len(order), bool)
-        head[1:] = raw[order][1:] != raw[order][:-1]
+        head[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
         lead = order[head]
-        known = raw[lead].astype([("a", "u8"), ("b", "u8")])
+        known = k1[lead]
         late = np.zeros(len(order), bool)
         for s in np.unique(shard).tolist():  # each shard's run against the sorted list of all
             run = np.flatnonzero(shard == s)
-            at = np.searchsorted(known, raw[run].astype(known.dtype))
+            lo, hi = np.searchsorted(known, k1[run], "left"), np.searchsorted(known, k1[run], "right")
+            at = lo.copy()
+            for k in np.flatnonzero(hi - lo > 1).tolist():
+                at[k] = lo[k] + np.searchsorted(k2[lead[lo[k] : hi[k]]], k2[run[k]])
             ahead = lead[at]
             late[run] = (doc[run] != doc[ahead]) | (own[run] != own[ahead]) | (start[run] != start[ahead])
-        covered = [np.array([s, s + 1], np.int32) for s in start[late].tolist()]
-        return pa.record_batch([pa.array(doc[late]), pa.array(own[late]), pa.array(place[late]), pa.array(covered, pa.list_(pa.int32()))], ["doc_id", "h", "place", "covered"])
+        runs = np.stack([start[late], start[late] + 1], 1).astype(np.int32).ravel()
+        covered = pa.ListArray.from_arrays(pa.array(np.arange(0, len(runs) + 1, 2, dtype=np.int32)), pa.array(runs))
+        return pa.record_batch([pa.array(doc[late]), pa.array(own[late]), pa.array(place[late]), covered], ["doc_id", "h", "place", "covered"])
 
-    met = windows.repartition("key").sortWithinPartitions("key")
+    met = windows.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
     return met.mapInArrow(run, "doc_id long, h long, place int, covered array<int>")
 
 
 # -- stage 5 -----------------------------------------------------------------------
-def covered_spans(n: int, places: np.ndarray, firsts: dict[int, list]) -> np.ndarray:
-    """Maximal covered spans [from, to, ...] of a text of n bytes."""
-    mark = np.zeros(n + 1, np.int32)
-    full = np.array([p for p in places.tolist() if p not in firsts], np.int64)
-    lo, hi = np.maximum(full - REACH, 0), np.minimum(full, n - WINDOW) + 1
-    np.add.at(mark, lo, 1)
-    np.add.at(mark, np.maximum(hi + WINDOW - 1, lo), -1)
-    for ranges in firsts.values():
-        for a, b in zip(ranges[::2], ranges[1::2], strict=True):
-            mark[a] += 1
-            mark[b + WINDOW - 1] -= 1
-    on = np.cumsum(mark[:-1]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
-    return edge
+def covered_spans(n: int, codes: np.ndarray, firsts: dict[int, list]) -> np.ndarray:
+    """Maximal covered spans [from, to, ...] of a text of n bytes: all windows of an anchor whose context comes earlier, and what ``firsts`` names of the others."""
+    place, lo, hi = unpack(codes)
+    if firsts:
+        full = ~np.isin(place, np.fromiter(firsts, np.int64, len(firsts)))
+        lo, hi = lo[full], hi[full]
+        ranges = np.array([x for r in firsts.values() for x in r], np.int64).reshape(-1, 2)
+        lo, hi = np.concatenate([lo, ranges[:, 0]]), np.concatenate([hi, ranges[:, 1] - 1])
+    if not len(lo):
+        return np.zeros(0, np.int64)
+    order = np.argsort(lo)
+    lo, end = lo[order], np.maximum.accumulate(hi[order] + WINDOW)
+    cut = np.flatnonzero(lo[1:] > end[:-1])
+    return np.stack([lo[np.append(0, cut + 1)], end[np.append(cut, len(end) - 1)]], 1).ravel()
 
 
 def free(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are done."""
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside us
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -478,8 +555,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     dealt = dealt.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
     solved = storage.settle(shard_results(dealt), "shards")
     free(spark)
-    own = solved.filter("key IS NULL").select("doc_id", "h", "place", "covered")
-    more = merge_shards(solved.filter("key IS NOT NULL").select("doc_id", "h", "place", "key", "start", "shard"))
+    own = solved.filter("start IS NULL").select("doc_id", "h", "place", "covered")
+    more = merge_shards(solved.filter("start IS NOT NULL").select("doc_id", "h", "place", "k1", "k2", "start", "shard"))
     firsts = own.union(more).groupBy("doc_id", "h").agg(F.collect_list(F.struct("place", "covered")).alias("firsts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +566,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 by: dict[int, list] = {}
                 for f in first or ():
                     by.setdefault(f["place"], []).extend(f["covered"] or ())
-                spans = covered_spans(n, np.unique(np.frombuffer(b"".join(blobs), np.int32)), by)
+                spans = covered_spans(n, np.unique(np.frombuffer(b"".join(blobs), np.int64)), by)
                 if len(spans):
                     out.append((doc, h, spans.astype(np.int32)))
             if out:

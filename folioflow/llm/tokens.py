@@ -12,6 +12,7 @@ matrix; every other word, and any that may hold a special token, goes to the
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -23,9 +24,14 @@ import pyarrow.compute as pc
 
 NONE = np.int32(2**31 - 1)
 #: Texts are handled in slices of about so many bytes, which bounds memory.
-SLICE_BYTES = 20 << 20
+SLICE_BYTES = 8 << 20
 LONGEST_PIECE = 64
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 BREAK, LETTER, DIGIT, SYMBOL = range(4)
 KINDS = np.full(256, SYMBOL, np.uint8)
 KINDS[10] = BREAK
@@ -309,6 +315,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 @lru_cache(maxsize=2)
