@@ -138,17 +138,19 @@ def valid(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFr
 
 def shards(distinct: DataFrame, most: int, overlap: int, levels: int = 8) -> DataFrame:
     """(rep, m, v, shard): every vector in each of its shards."""
-    now = distinct.select("rep", "m", "v", F.concat_ws("/", "label", F.size("v").cast("string")).alias("shard"))
+    now = distinct.select("rep", "m", "v", F.concat_ws("/", "label", F.size("v").cast("string")).alias("shard"), F.lit(2**62).alias("whole"))
     small: list[DataFrame] = []
     for level in range(levels + 1):
-        sizes = now.groupBy("shard").agg(F.count("*").alias("n"))
-        big = storage.settle(sizes.filter(F.col("n") > most), "shard-sizes")
+        sizes = now.groupBy("shard").agg(F.count("*").alias("n"), F.max("whole").alias("whole"))
+        # what hardly shrank is one crowd of near copies: cutting it again would lose links and save nothing
+        big = storage.settle(sizes.filter((F.col("n") > most) & (F.col("n") < 0.7 * F.col("whole"))).drop("whole"), "shard-sizes")
         if level == levels or big.isEmpty():
-            small.append(now)
+            small.append(now.drop("whole"))
             break
-        fan = F.least(F.lit(32), F.ceil(2.0 * F.col("n") / most)).cast("int")
-        small.append(now.join(big, "shard", "left_anti"))
-        parted = now.join(big.withColumn("k", fan), "shard")
+        keep = overlap if level == 0 else 2
+        fan = F.least(F.lit(32), F.ceil(2.0 * keep * F.col("n") / most)).cast("int")
+        small.append(now.join(big, "shard", "left_anti").drop("whole"))
+        parted = now.drop("whole").join(big.withColumn("k", fan), "shard")
         chance = F.pmod(F.xxhash64(F.lit(level), "rep"), F.lit(1_000_003)) < 1_000_003.0 * SAMPLE / F.col("n")
         chosen = parted.filter(chance).select("shard", "k", "v")
 
@@ -160,7 +162,6 @@ def shards(distinct: DataFrame, most: int, overlap: int, levels: int = 8) -> Dat
             return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "centres": [c.ravel().tolist()]})
 
         centres = storage.settle(chosen.groupBy("shard").applyInPandas(fit, "shard string, centres array<double>"), "centres")
-        keep = overlap
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -172,9 +173,9 @@ def shards(distinct: DataFrame, most: int, overlap: int, levels: int = 8) -> Dat
                     near = np.argsort(-(x @ c.T), 1, kind="stable")[:, :keep]
                     rows = np.repeat(np.arange(len(x)), near.shape[1])
                     child = [f"{name}/{k}" for k in near.ravel().tolist()]
-                    yield pa.record_batch([*(part.column(n).take(pa.array(rows)) for n in ("rep", "m", "v")), pa.array(child)], ["rep", "m", "v", "shard"])
+                    yield pa.record_batch([*(part.column(n).take(pa.array(rows)) for n in ("rep", "m", "v", "n")), pa.array(child)], ["rep", "m", "v", "whole", "shard"])
 
-        now = storage.settle(parted.join(centres, "shard").select("rep", "m", "v", "shard", "centres").mapInArrow(assign, "rep long, m long, v array<double>, shard string"), "shards")
+        now = storage.settle(parted.join(centres, "shard").select("rep", "m", "v", "n", "shard", "centres").mapInArrow(assign, "rep long, m long, v array<double>, whole long, shard string"), "shards")
     out = small[0]
     for s in small[1:]:
         out = out.union(s)
