@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
@@ -11,6 +11,15 @@ from folioflow import schemas as S
 EDGES = r"(?U)^\s+|\s+$"
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows and columns behind a generator that Spark neither pushes filters through nor merges projections with.
+
+    Without it a filter on a computed column would repeat the column's whole
+    expression, and that of the columns it is made of, once for each use.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
-from folioflow.functions.text import fold
+from folioflow.functions.text import fold, sealed
 
 
 def candidates(text: Column, ocr_confidence: Column) -> Column:
@@ -56,4 +56,4 @@ def classify(df: DataFrame) -> DataFrame:
     c = F.col("classification_confidence")
     t = t.withColumn("confidence_band", F.when(c >= 0.85, "high").when(c >= s.auto_route, "medium").otherwise("low"))
     t = t.withColumn("auto_route", (c >= s.auto_route) & (F.col("route") != "generic"))
-    return t.withColumn("requires_review", ~F.col("auto_route"))
+    return sealed(t.withColumn("requires_review", ~F.col("auto_route")))

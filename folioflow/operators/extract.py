@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
-from folioflow.functions.text import collapse, route_name, strip
+from folioflow.functions.text import collapse, route_name, sealed, strip
 
 FLAGS = "(?im)"
 
@@ -100,4 +100,4 @@ def extract(df: DataFrame, layout_text: str | None = None, model_fields: str | N
     t = t.withColumn("missing_fields", missing(F.col("fields")))
     again = F.round(F.least("confidence", fields_confidence(F.col("ocr_confidence"), F.col("fields"), used)), 4)
     t = t.withColumn("confidence", F.when(F.size("missing_fields") > 0, again).otherwise(F.col("confidence")))
-    return t.withColumn("layout_text_used", used).drop("_picked", "_route")
+    return sealed(t.withColumn("layout_text_used", used).drop("_picked", "_route"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
-from folioflow.functions.text import collapse, route_name, strip
+from folioflow.functions.text import collapse, route_name, sealed, strip
 
 
 def infer_route(fields: Column, explicit: Column) -> Column:
@@ -72,4 +72,4 @@ def validate(df: DataFrame) -> DataFrame:
         result("required_field_confidence", F.size("_low") > 0, names="_low"), result("document_confidence", conf < s.auto_approve), result("llm_fallback_policy", policy)))
     t = t.withColumn("requires_human_review", F.size("reasons") > 0)
     t = t.withColumn("verdict", F.when(F.col("_reject"), "rejected").when(F.col("requires_human_review"), "needs_review").otherwise("auto_approved"))
-    return t.drop("_f", "_required", "_wanted", "_dates", "_money", "_no_req", "_no_rec", "_bad_date", "_bad_money", "_low", "_reject")
+    return sealed(t.drop("_f", "_required", "_wanted", "_dates", "_money", "_no_req", "_no_rec", "_bad_date", "_bad_money", "_low", "_reject"))

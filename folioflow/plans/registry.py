@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.plans import analytics, documents, intake
+from folioflow.plans import analytics, documents, intake, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (documents, intake, analytics):
+for _module in (documents, intake, analytics, streams):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
