@@ -178,7 +178,7 @@ def shards(distinct: DataFrame, most: int, overlap: int, levels: int = 8) -> Dat
         now = storage.settle(parted.join(centres, "shard").select("rep", "m", "v", "n", "shard", "centres").mapInArrow(assign, "rep long, m long, v array<double>, whole long, shard string"), "shards")
     out = small[0]
     for s in small[1:]:
-        out = out.union(s)
+        out = out.unionByName(s)
     return out
 
 

@@ -217,7 +217,8 @@ class PrefixCounts:
         self.codes, self.n_words, self.dictionary = T.split_words(self.texts)
         self.flat, self.size = dp.words(self.dictionary)
         self.end = np.cumsum(self.size)
-        self.per_word = self.flat[self.end - 1] if len(self.end) else np.zeros(0, np.int32)
+        # the empty string may stand among the words; no text points to it
+        self.per_word = np.where(self.size > 0, self.flat[np.maximum(self.end - 1, 0)], 0) if len(self.flat) else np.zeros(len(self.size), np.int32)
         self.totals = T.sums(self.per_word[self.codes].astype(np.int64), self.n_words)
         self.first = np.cumsum(self.n_words) - self.n_words
 

@@ -41,10 +41,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     """Delete tables that ``settle`` wrote and nobody reads any more."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else df_or_path.inputFiles()[:1]
+    paths = [df_or_path] if isinstance(df_or_path, str) else [f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()[:1]]
     for p in paths:
-        if not isinstance(df_or_path, str):
-            p = p.rsplit("/", 1)[0]
         if "/folioflow/" in p:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(p)
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -532,9 +532,10 @@ def free(spark: SparkSession) -> None:
     import gc
     import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner works beside us
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)  # the cleaner works beside us
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -549,6 +550,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     places = storage.settle(places, "places")
     # written on its own, so that its true size decides how it is joined
     hot = storage.settle(found.filter("kind = 1").select(F.col("doc_id").alias("anchor"), F.col("n").cast("int").alias("split")), "hot-anchors")
+    storage.discard(spark, found)
+    free(spark)
     near = contexts(src.filter("text IS NOT NULL").join(places.select("doc_id", "h", "places").hint("shuffle_hash"), ["doc_id", "h"]).select("doc_id", "h", "text", "places"))
     dealt = near.join(hot, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", "place"), F.col("split")).cast("int"))
@@ -574,7 +577,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["doc_id", "h", "spans"])
 
     joined = places.join(firsts, ["doc_id", "h"], "left")
-    return storage.settle(joined.mapInArrow(run, "doc_id long, h long, spans array<int>"), "spans")
+    spans = storage.settle(joined.mapInArrow(run, "doc_id long, h long, spans array<int>"), "spans")
+    for done in (solved, places, hot):
+        storage.discard(spark, done)
+    free(spark)
+    return spans
 
 
 def without(data: bytes, spans: list[int] | None) -> bytes:
