@@ -45,7 +45,8 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.cascade(documents(spark, sf_dir), measures=True)
+    # which rule rejects first depends on measured times, so it is no part of the result
+    return rules.cascade(documents(spark, sf_dir), measures=True).drop("rejected_by")
 
 
 def op8_flat_graph_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,23 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op5_suffix_array_dedup, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_rule_cascade": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM p),
+r AS (SELECT doc_id, count(DISTINCT k) AS n_rep FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM g WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_rep, 0) AS n_repeat_words FROM w LEFT JOIN ln ON w.doc_id = ln.doc_id LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept FROM m""",
+    "op9_url_range_join": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + r""") v(h, f, verdict)),
+b AS (SELECT p.page_id, r.h || r.f AS rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.h || r.f) DESC) AS k FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.f))
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM p LEFT JOIN b ON p.page_id = b.page_id AND b.k = 1""",
+}

@@ -7,6 +7,7 @@ on one machine) a folder of our own is made and set.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -15,6 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 KEY = "spark.checkpoint.dir"
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless their path is set already."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; made only where it is unset."""
     place = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
@@ -34,6 +43,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     Later plans start from the files, so a lost executor costs one re-read
     and not a recomputation.
     """
+    on_workers(df.sparkSession)
     path = fresh_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -49,4 +59,5 @@ def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
