@@ -105,18 +105,18 @@ def training_rows(sample: DataFrame, label_col: str, tokenizer: str, least_docs:
     got = src.mapInArrow(run, "label int, slots array<int>, vals array<float>").toArrow()
     label = got["label"].to_numpy()
     slots, vals = got["slots"].combine_chunks(), got["vals"].combine_chunks()
-    row = np.repeat(np.arange(len(label)), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(label), dtype=np.int32), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
     slot, val = slots.flatten().to_numpy(), vals.flatten().to_numpy()
-    # the order in which tasks end must not change the model
-    order = np.lexsort((slot, val))
-    mark = np.bincount(row, (slot.astype(np.float64) * 1e-3 + 1) * val, len(label)) if len(label) else np.zeros(0)
-    rank = np.empty(len(label), np.int64)
-    rank[np.lexsort((label, mark))] = np.arange(len(label))
-    row, label = rank[row], label[np.argsort(rank)]
+    del got, slots, vals
     often = np.bincount(slot, minlength=SLOTS) >= least_docs
     use = often[slot]
-    order = np.lexsort((slot[use], row[use]))
-    return row[use][order], slot[use][order], val[use][order], label
+    row, slot, val = row[use], slot[use], val[use]
+    # the order in which tasks end must not change the model
+    mark = np.bincount(row, (slot.astype(np.float32) * np.float32(1e-3) + 1) * val, len(label))
+    rank = np.empty(len(label), np.int32)
+    rank[np.lexsort((label, mark))] = np.arange(len(label), dtype=np.int32)
+    order = np.argsort(rank[row], kind="stable")
+    return rank[row][order], slot[order], val[order], label[np.argsort(rank)]
 
 
 def adam(params: list[np.ndarray], gradient, steps: int, rate: float, project=None) -> None:

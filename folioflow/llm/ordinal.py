@@ -28,7 +28,7 @@ from folioflow.llm import features, storage
 from folioflow.llm import tokens as T
 
 GRADES = 3
-FIT_ROWS = 12_000
+FIT_ROWS = 10_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
