@@ -148,7 +148,7 @@ def shards(distinct: DataFrame, most: int, overlap: int, levels: int = 8) -> Dat
             small.append(now.drop("whole"))
             break
         keep = overlap if level == 0 else 2
-        fan = F.least(F.lit(32), F.ceil(2.0 * keep * F.col("n") / most)).cast("int")
+        fan = F.least(F.lit(64), F.ceil(2.0 * keep * F.col("n") / most)).cast("int")
         small.append(now.join(big, "shard", "left_anti").drop("whole"))
         parted = now.drop("whole").join(big.withColumn("k", fan), "shard")
         chance = F.pmod(F.xxhash64(F.lit(level), "rep"), F.lit(1_000_003)) < 1_000_003.0 * SAMPLE / F.col("n")
@@ -182,7 +182,7 @@ def shards(distinct: DataFrame, most: int, overlap: int, levels: int = 8) -> Dat
     return out
 
 
-def link(df: DataFrame, least: float = 0.93, most: int = 2048, overlap: int = 3, degree: int = 24, pool: int = 64, alpha: float = 1.2, beam: int = 12, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def link(df: DataFrame, least: float = 0.93, most: int = 512, overlap: int = 3, degree: int = 24, pool: int = 64, alpha: float = 1.2, beam: int = 12, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     rows = valid(df, id_col, vector_col, label_col)
     distinct = storage.settle(rows.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "distinct-vectors")
