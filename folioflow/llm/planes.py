@@ -73,9 +73,11 @@ class Writer:
         self.blocks: list[int] = []  # place, ids, planes, then the planes' lengths
         self.docs: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.no_id: list[np.ndarray] = []  # which documents have none
 
-    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, no_id: np.ndarray | None = None) -> None:
         self.docs.append(np.asarray(doc_ids, "<i8"))
+        self.no_id.append(np.zeros(len(doc_ids), bool) if no_id is None else no_id)
         self.sizes.append(np.asarray(sizes, "<i8"))
         self.waiting.append(ids)
         self.held += len(ids)
@@ -99,8 +101,9 @@ class Writer:
         docs = np.concatenate(self.docs) if self.docs else np.zeros(0, "<i8")
         sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, "<i8")
         blocks = np.array(self.blocks, "<i8")
+        none = np.flatnonzero(np.concatenate(self.no_id) if self.no_id else np.zeros(0, bool)).astype("<i8")
         head = np.array([self.kind == "bit", self.block, len(blocks), len(docs)], "<i8")
-        index = self.press.compress(b"".join(x.tobytes() for x in (head, blocks, docs, sizes)))
+        index = self.press.compress(b"".join(x.tobytes() for x in (head, blocks, docs, sizes, none)))
         self.out.write(index + struct.pack("<q", len(index)) + MAGIC)
 
 
@@ -121,7 +124,9 @@ class Reader:
         self.block = int(flat[1])
         blocks, n_docs = flat[4 : 4 + flat[2]], int(flat[3])
         self.docs = flat[4 + flat[2] : 4 + flat[2] + n_docs]
-        self.sizes = flat[4 + flat[2] + n_docs :]
+        self.sizes = flat[4 + flat[2] + n_docs : 4 + flat[2] + 2 * n_docs]
+        self.no_id = np.zeros(n_docs, bool)
+        self.no_id[flat[4 + flat[2] + 2 * n_docs :]] = True
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.blocks, at = [], 0
         while at < len(blocks):
@@ -194,7 +199,7 @@ def write(df: DataFrame, folder: str, tokenizer: str | None = None, end_id: int
                 flat, counts = bpe.encode_texts(part.column("text"))
                 ids = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 docs = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-                writer.add(docs, counts + 1, ids)
+                writer.add(docs, counts + 1, ids, part.column("doc_id").is_null().to_numpy(zero_copy_only=False))
                 n_docs, n_ids = n_docs + part.num_rows, n_ids + len(ids)
         if writer is not None:
             writer.close()
@@ -224,7 +229,7 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         ids.append(got)
                         if len(crc) == 2000 or d == len(r.sizes) - 1:
                             to = at + len(crc)
-                            cols = [r.docs[at:to], row["base"] + r.starts[at:to], r.sizes[at:to], np.array(crc, np.int64)]
+                            cols = [pa.array(r.docs[at:to], mask=r.no_id[at:to]), row["base"] + r.starts[at:to], r.sizes[at:to], np.array(crc, np.int64)]
                             cols = [pa.array(c) for c in cols] + ([pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))] if with_ids else [])
                             yield pa.record_batch(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
                             crc, ids, at = [], [], to

@@ -19,7 +19,8 @@ document of smaller id, or earlier in the same document. The work is exact:
 5.  Spans. What is not first is covered; per document the spans are joined.
 
 Documents with equal ids are ordered by a hash of their text; rows that repeat
-an id and a text are one document listed repeatedly and get one answer.
+an id and a text are one document listed repeatedly and get one answer. Rows
+without an id share one that is smaller than all others.
 
 Defined cases: null and empty texts, and texts shorter than a window, lose
 nothing; further columns are kept by ``remove`` and ignored elsewhere.
@@ -541,7 +542,8 @@ def free(spark: SparkSession) -> None:
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, spans): the covered spans of every document that has any."""
     spark = df.sparkSession
-    src = numbered(df, id_col, text_col)
+    # one stand-in on both sides of every join
+    src = numbered(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(16, total >> 26), 1 << 20))
     found = storage.settle(repeated_anchors(src, buckets), "anchors")
