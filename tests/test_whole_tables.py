@@ -19,3 +19,23 @@ def test_webhook_events_judges_every_page(spark, tmp_path):
     got = {r.page_id: r.reason for r in analytics.webhook_events(spark, str(tmp_path)).collect()}
     assert got == {k: reason(u) for k, u in enumerate(urls)}
     assert set(got.values()) == {None, "not_absolute", "host_not_allowed"}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_ocr_cer_of_every_order_key(spark, sf_dir):
+    from folioflow.sources.tables import run_sql
+
+    texts = {r.job_id: (r.text, r.predicted) for r in run_sql(spark, sf_dir, analytics.PREDICTED).filter("job_id < 400").collect()}
+    got = {r.job_id: r.cer for r in analytics.ocr_cer(spark, sf_dir).filter("job_id < 400").collect()}
+    assert got.keys() == texts.keys() and any(k % 12 == 5 for k in got)
+    for k, pair in texts.items():
+        e, p = (" ".join(x.split()).lower() for x in pair)
+        assert abs(got[k] - distance(e, p) / len(e)) < 1e-6
