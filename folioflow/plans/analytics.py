@@ -214,9 +214,7 @@ def topk_endpoints(spark, sf_dir):
 @query(f"WITH l AS ({L}), s AS (SELECT DISTINCT service FROM l), h AS (SELECT DISTINCT hour FROM l) SELECT s.service, h.hour FROM s CROSS JOIN h WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.service = s.service AND l.hour = h.hour)")
 def absent_series(spark, sf_dir):
     seen = run_sql(spark, sf_dir, LOG).select("service", "hour").distinct()
-    # the services are a fixed enumeration, so the spine is hours times a literal list
-    services = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
-    spine = seen.select("hour").distinct().select(F.explode(services).alias("service"), "hour")
+    spine = seen.select("service").distinct().crossJoin(seen.select("hour").distinct())
     return ops.absent(spine, seen, ["service", "hour"])
 
 

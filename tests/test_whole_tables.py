@@ -39,3 +39,11 @@ def test_ocr_cer_of_every_order_key(spark, sf_dir):
     for k, pair in texts.items():
         e, p = (" ".join(x.split()).lower() for x in pair)
         assert abs(got[k] - distance(e, p) / len(e)) < 1e-6
+
+
+def test_absent_series_takes_the_services_of_the_table(spark, tmp_path):
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(1, 1, "click", t0, 1.0), (2, 1, "refund", t0 + dt.timedelta(hours=1), 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.service, r.hour) for r in analytics.absent_series(spark, str(tmp_path)).collect()}
+    assert got == {("click", t0 + dt.timedelta(hours=1)), ("refund", t0)}
