@@ -1,33 +1,56 @@
 """Shared, durable places for intermediate tables and files.
 
 Every table that cuts lineage is written below ``spark.checkpoint.dir``, the
-folder that the cluster shares. Only where that setting is absent (unit tests
-on one machine) a folder of our own is made and set.
+folder that the cluster shares. Only where that setting is absent and Spark
+runs on one machine (unit tests) a folder of our own is made and set; a cluster
+without the setting is an error, because its machines would not see it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_shipped: set[str] = set()
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, unless their path is set already."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    """Ship this package to the Python workers of the session, once an application.
+
+    Every operator calls this before it builds a plan with Python in it, because
+    a function takes the list of shipped files along when it is made.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="folioflow-")
+    path = os.path.join(folder, "folioflow-workers.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+    context.addPyFile(path)  # Spark serves it to all executors, also to later ones
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; made only where it is unset."""
+    """The shared folder named by the session; made only where it is unset and everything runs on this machine."""
     place = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{KEY} must name a folder that all machines of the cluster share")
         place = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set(KEY, place)
     return place.rstrip("/")
@@ -61,3 +84,20 @@ def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for columns of our own beside ``columns``: the given ones, with underscores before them where they are taken."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, dots and back-ticks and all."""
+    return "`" + name.replace("`", "``") + "`"

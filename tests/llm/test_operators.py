@@ -246,23 +246,49 @@ def test_components(spark):
     assert {n: got.get(n, n) for n in nodes} == want
 
 
-def test_flat_graph(spark):
+def brute_vectors(rows, least=0.93):
+    """n_links and component of every (position in rows), rows: id, vector, label."""
+    good = [k for k, (_, v, label) in enumerate(rows) if v and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {k: np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in good}
+    link = lambda a, b: a != b and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and float(unit[a] @ unit[b]) >= least
+    links = {k: sum(link(k, j) for j in good) if k in unit else 0 for k in range(len(rows))}
+    label = brute_components(good, link)
+    names = {}
+    for k in good:
+        names.setdefault(label[k], []).append(rows[k][0])
+    component = {k: min((i for i in names[label[k]] if i is not None), default=None) if k in unit else rows[k][0] for k in range(len(rows))}
+    return links, component
+
+
+def planted_vectors():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(120, 16))
     near = x[:40] + rng.normal(size=(40, 16)) * 0.08
     rows = [(k, v.tolist(), k % 2) for k, v in enumerate(np.concatenate([x, near, x[:5]]))]
-    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 1), (903, x[0].tolist(), None), (904, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    linked = flatgraph.link(df, most=40)
-    got = {r.vec_id: r for r in linked.collect()}
-    unit = {k: np.array(v) / np.linalg.norm(v) for k, v, label in rows if k < 900}
-    labels = {k: label for k, _, label in rows}
-    link = lambda a, b: a != b and labels[a] == labels[b] and float(unit[a] @ unit[b]) >= 0.93
-    there = sum(link(a, b) for a in unit for b in unit)
-    assert there > 40 and sum(got[a].n_links for a in unit) >= 0.9 * there
-    assert all(got[a].n_links <= sum(link(a, b) for b in unit) for a in unit)
-    assert all(got[k].n_links == 0 and got[k].kept for k in (900, 901, 902, 903, 904))
-    assert flatgraph.audit(df, linked) >= 0.9
+    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 1), (903, x[0].tolist(), None), (904, [1.0, 2.0], 0), (905, [], 0), (906, [None] + [1.0] * 15, 0)]
+    rows += [(7, x[90].tolist(), 0), (7, x[90].tolist(), 0), (None, x[3].tolist(), 1), (None, (x[100] * 9 + 50).tolist(), 1)]
+    crowd = rng.normal(size=16)
+    return rows + [(1000 + k, (crowd * (1 + k)).tolist(), 2) for k in range(90)] + [(2000 + k, (crowd + rng.normal(size=16) * 0.02).tolist(), 3) for k in range(130)]
+
+
+@pytest.mark.parametrize("options", [{"most": 40, "visitors": 30}, {"most": 25, "exact": True}])
+def test_flat_graph(spark, options):
+    rows = planted_vectors()
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, label int, node string, v double").repartition(3)
+    got = flatgraph.link(df, **options).collect()
+    links, component = brute_vectors(rows)
+    want = sorted((str(rows[k][0]), links[k], str(component[k]), rows[k][0] == component[k]) for k in links)
+    have = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got)
+    assert [h[0] for h in have] == [w[0] for w in want]
+    if options.get("exact"):
+        assert have == want
+    assert sum(h[1] for h in have) >= 0.98 * sum(w[1] for w in want)
+    assert np.mean([h[2:] == w[2:] for h, w in zip(have, want, strict=True)]) >= 0.98
+
+
+def test_flat_graph_of_nothing(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert flatgraph.link(none).count() == 0
 
 
 def test_url_rules(spark):
