@@ -309,7 +309,34 @@ def test_url_rules(spark):
         best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
         want = (host, path, best[0] + best[1] if best else None, best[2] if best else "allow")
         assert (rows[k].host, rows[k].path, rows[k].rule, rows[k].verdict) == want, u
-    assert {r.page_id: r.rule for r in urlfilter.judge(df, URL_RULES, block=1).collect()} == {k: r.rule for k, r in rows.items()}
+    assert {r.page_id: r.rule for r in urlfilter.judge(df, URL_RULES, parts=7).collect()} == {k: r.rule for k, r in rows.items()}
+
+
+def brute_rule(host, path, rules):
+    fits = [(len(h + p), len(h), v == "block", v, h + p) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return (best[4], best[3]) if best else (None, "allow")
+
+
+def test_longest_url_rule_wins_over_many_ranges(spark):
+    rng = random.Random(13)
+    label = lambda: rng.choice(["a", "b", "c", "com", "org", "x-y"])
+    host = lambda: ".".join(label() for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "/".join(rng.choice("pqr") * rng.randint(1, 3) for _ in range(rng.randint(0, 3)))
+    rules = [("com", "/very/long/", "block"), ("a.com", "/", "allow"), ("", "/", "block")] + [(host(), path()[: rng.randint(0, 6)], rng.choice(["allow", "block"])) for _ in range(80)]
+    pairs = [("a.com", "/very/long/x")] + [(host(), path()) for _ in range(400)] + [("hot.com", "/p")] * 300
+    df = spark.createDataFrame([(k if k % 7 else None, f"http://{h}{p}", 0, "z") for k, (h, p) in enumerate(pairs)], "page_id long, url string, part int, key string").repartition(3)
+    for parts in (1, 9):
+        got = sorted(((r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df, rules, parts=parts).collect()), key=str)
+        assert got == sorted(((h, p, *brute_rule(h, p, rules)) for h, p in pairs), key=str)
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    assert urlfilter.judge(df, frame).count() == len(pairs)
+
+
+def test_urls_without_rules_or_rows(spark):
+    df = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, None)], "page_id long, url string")
+    assert sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df, []).collect()) == [("1", "a.b", "/c", None, "allow")] * 2 + [("None", "", "", None, "allow")]
+    assert urlfilter.judge(df.filter("false"), [("b", "/", "block")]).count() == 0
 
 
 @pytest.fixture(scope="module")
