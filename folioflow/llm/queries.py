@@ -68,14 +68,16 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup, count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_cut FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT k) AS n_rep FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM g WHERE c > 1) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_rep, 0) AS n_repeat_words FROM w LEFT JOIN ln ON w.doc_id = ln.doc_id LEFT JOIN r ON w.doc_id = r.doc_id)
+  coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_rep, 0) AS n_repeat_words, coalesce(n_cut, 0) AS n_cut,
+  len(list_filter(ws, lambda x: list_contains([""" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + r"""], lower(x)))) AS n_stop, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter, len(list_distinct(ws)) AS n_distinct FROM w LEFT JOIN ln ON w.doc_id = ln.doc_id LEFT JOIN r ON w.doc_id = r.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept FROM m""",
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 10 * n_dup_lines > 3 * n_lines
+  OR 100 * n_stop < n_words OR 10 * n_letter < 8 * n_words OR 10 * n_distinct < n_words OR 10 * n_cut > 3 * n_lines) AS kept FROM m""",
     "op9_url_range_join": r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),

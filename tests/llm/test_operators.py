@@ -150,6 +150,34 @@ def test_rules(spark, none):
     assert rules.cascade(none).count() == 0
 
 
+def test_cascade_tries_rules_on_survivors_only():
+    import pyarrow.compute as pc
+
+    texts = pa.array(["short", "### " * 60, prose(random.Random(1), 80), None, "x y z " * 40, prose(random.Random(2), 90) + " |" * 300, "no thing..\nhere...\n" * 30])
+    asked = []
+
+    class Watched(rules.Measures):
+        def __getitem__(self, name):
+            return super().__getitem__(name)
+
+    def rule(name, fails):
+        return rules.Rule(name, lambda m: (asked.append((name, len(m.texts))), fails(m))[1])
+
+    order = [rule(r.name, r.fails) for r in rules.DEFAULT]
+    by, tried = rules.short_circuit(Watched(texts), len(texts), order)
+    alone = {r.name: r.fails(rules.Measures(texts)) for r in rules.DEFAULT}
+    for k in range(len(texts)):
+        want = next((j for j, r in enumerate(rules.DEFAULT) if alone[r.name][k]), -1)
+        assert by[k] == want
+    assert [n for _, n in asked] == tried[: len(asked)]
+    assert tried[0] == len(texts) and tried[-1] == (by < 0).sum() + (by == len(order) - 1).sum()
+    for name in ("n_stop_words", "n_letter_words", "n_distinct_words", "n_cut_lines"):  # what is carried along is what is made anew
+        m = rules.Measures(texts)
+        m[name], m["words"], m["lines"]
+        keep = np.array(pc.is_valid(texts))
+        assert m.narrow(keep)[name].tolist() == rules.Measures(texts.filter(pa.array(keep)))[name].tolist()
+
+
 def brute_fingerprint(t):
     w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if x]
     if not w:
