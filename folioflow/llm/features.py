@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import storage
 from folioflow.llm import tokens as T
 
 SLOTS = 1 << 18
@@ -32,13 +33,14 @@ def slots_of(pieces: list[str]) -> np.ndarray:
 AGAIN = int(slots_of(["\x00again"])[0])
 
 
-def occurrences(texts: pa.Array, cutter: T.WordBpe, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text numbers and slots of all occurrences, and words per text; ``keep`` masks the slots of interest."""
+def occurrences(texts: pa.Array, cutter: T.WordBpe, keep: np.ndarray | None = None, tokens: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Text numbers and slots of all occurrences, words per text and, if asked, ids per text; ``keep`` masks the slots of interest."""
     codes, n_words, words = T.split_words(texts)
     n = len(n_words)
     if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), n_words
-    pieces, flat, n_pieces, odd = cutter.cut_words(words)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), n_words, np.zeros(n, np.int64) if tokens else None
+    cut = pieces, flat, n_pieces, odd = cutter.cut_words(words)
+    ids = T.sums(cutter.count_words(words, cut)[codes], n_words) if tokens else None
     texts_of = pieces.to_pylist()
     heads = slots_of([p[:4] + "-" for p in texts_of])
     heads[[len(p) <= 4 or not p[0].isalpha() for p in texts_of]] = -1
@@ -54,7 +56,7 @@ def occurrences(texts: pa.Array, cutter: T.WordBpe, keep: np.ndarray | None = No
     doc = np.repeat(np.arange(n, dtype=np.int32), n_words)
     got, spread = T.gather(slot, n_pieces, codes)
     again = np.flatnonzero((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) + 1
-    return np.concatenate([np.repeat(doc, spread), doc[again]]), np.concatenate([got, np.full(len(again), AGAIN, np.int32)]), n_words
+    return np.concatenate([np.repeat(doc, spread), doc[again]]), np.concatenate([got, np.full(len(again), AGAIN, np.int32)]), n_words, ids
 
 
 def grouped(doc: np.ndarray, slot: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,20 +74,21 @@ class LinearScores:
         self.keep = (self.weights != 0).any(1)
         self.cutter = T.load(tokenizer)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, columns) scores and words per text."""
-        doc, slot, n_words = occurrences(texts, self.cutter, self.keep)
+    def __call__(self, texts: pa.Array, tokens: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, columns) scores and words, or ids, per text."""
+        doc, slot, n_words, ids = occurrences(texts, self.cutter, self.keep, tokens)
         d, s, x = grouped(doc, slot, n_words)
         out = np.stack([np.bincount(d, x * self.weights[s, k], len(n_words)) for k in range(self.weights.shape[1])], 1)
-        return out, n_words
+        return out, ids if tokens else n_words
 
 
 def bounded_sample(labelled: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows at most, chosen by the key's hash; all rows if there are no more."""
-    n = labelled.count()
-    if n <= rows:
-        return labelled
-    return labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_003)) < int(1_000_003 * rows / n))
+    """One row a key, its smallest, of about ``rows`` keys at most, chosen by the key's hash; of all keys if there are no more."""
+    n = labelled.select(key).distinct().count()
+    chance = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_003)) < int(1_000_003 * rows / max(n, 1))
+    some = labelled if n <= rows else labelled.filter(chance)
+    rest = [c for c in labelled.columns if c != key]
+    return some.groupBy(key).agg(F.min(F.struct(*rest)).alias("least")).select(key, *(F.col("least")[c].alias(c) for c in rest))
 
 
 def training_rows(sample: DataFrame, label_col: str, tokenizer: str, least_docs: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,12 +98,13 @@ def training_rows(sample: DataFrame, label_col: str, tokenizer: str, least_docs:
         cutter = T.load(tokenizer)
         for batch in batches:
             for part in T.slices(batch, limit=4 << 20):
-                doc, slot, n_words = occurrences(part.column("text"), cutter)
+                doc, slot, n_words, _ = occurrences(part.column("text"), cutter)
                 d, s, x = grouped(doc, slot, n_words)
                 edge = np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(v)) for v in (s, x)]
                 yield pa.record_batch([part.column("label"), *lists], ["label", "slots", "vals"])
 
+    storage.on_workers(sample.sparkSession)
     src = sample.select(F.col("text"), F.col(label_col).cast("int").alias("label"))
     got = src.mapInArrow(run, "label int, slots array<int>, vals array<float>").toArrow()
     label = got["label"].to_numpy()

@@ -71,6 +71,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges: long columns a, b in any order, repeats and loops allowed.
     """
+    storage.on_workers(edges.sparkSession)
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = storage.settle(contract(e), "edges")
     mark = None

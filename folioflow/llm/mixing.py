@@ -6,9 +6,12 @@ projected gradient on the least squares of (expected domain token totals -
 targets): a document of t tokens and posterior p adds r*t*p to the totals.
 Steps are taken in the norm that weighs documents by their tokens, so rates do
 not depend on a document's length, and each domain's step is scaled by its own
-curvature. Every iteration is one aggregation of the written posteriors; only
-one number a domain returns to the driver, and a document's rate is recomputed
-from the short list of steps, so no state is carried between iterations.
+curvature. Posteriors are whole multiples of 1/1024 that add up to 1; documents of
+one posterior have one rate, so their tokens are summed up once and every step is
+an aggregation of that much shorter table. Only one number a domain returns to
+the driver, and a rate is recomputed from the list of steps, so no state is
+carried between iterations. Steps end when the totals are met or come no nearer;
+a miss that stays (a target out of reach) is warned of and in ``fit_rates``'s result.
 
 Defined cases: null and empty texts have no tokens and the rate that their
 posterior gives; repeated rows each get their rate; a domain without tokens
@@ -18,6 +21,7 @@ further columns are kept by ``resample`` and ignored by ``rates``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +61,11 @@ def fit_softmax(row: np.ndarray, slot: np.ndarray, val: np.ndarray, label: np.nd
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], fit_rows: int = FIT_ROWS, tokenizer: str | None = None, unit: str = "ids", with_columns: bool = False) -> DataFrame:
-    """docs: doc_id, text; labelled: doc_id, text, domain. Per row: doc_id (all columns of ``docs`` if ``with_columns``), _tokens and _p_0, _p_1, ... in the order of ``domains``.
+    """docs: doc_id, text; labelled: doc_id, text, domain. Per row: doc_id (all columns of ``docs`` if ``with_columns``), then the columns that ``own_names`` names: the tokens and the posteriors in the order of ``domains``.
 
     unit: "words" (separated by white space) or "ids" (of the tokenizer).
     """
+    storage.on_workers(docs.sparkSession)
     path = tokenizer or T.default_path()
     number = F.create_map(*(x for k, d in enumerate(domains) for x in (F.lit(d), F.lit(k))))
     known = labelled.filter("text IS NOT NULL").select("doc_id", "text", F.try_element_at(number, F.col("domain")).alias("label")).filter("label IS NOT NULL")
@@ -72,56 +77,76 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], fit_row
         for batch in batches:
             scorer = scorer or features.LinearScores(sent.value[0], path)
             for part in T.slices(batch):
-                z, n = scorer(part.column("text"))
+                z, n = scorer(part.column("text"), unit == "ids")
                 z = z + sent.value[1]
                 p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
-                p = p / p.sum(1, keepdims=True)
-                if unit == "ids":
-                    n = scorer.cutter.count_texts(part.column("text"))
+                p = on_grid(p / p.sum(1, keepdims=True))
                 cols = [pa.array(n), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1]))]
                 yield pa.record_batch([*(part.column(c) for c in kept), *cols], [*kept, *made])
 
     kept = docs.columns if with_columns else ["doc_id"]
-    made = ["_tokens", *(f"_p_{k}" for k in range(len(domains)))]
+    made = own_names(kept, len(domains))
     src = docs if with_columns else docs.select("doc_id", "text")
-    schema = StructType([*src.select(*kept).schema.fields, StructField("_tokens", LongType()), *(StructField(c, DoubleType()) for c in made[1:])])
+    schema = StructType([*src.select(*map(storage.quoted, kept)).schema.fields, StructField(made[0], LongType()), *(StructField(c, DoubleType()) for c in made[1:])])
     return src.mapInArrow(run, schema)
 
 
-def rate_column(steps: list[np.ndarray]) -> Column:
-    """The rate after the given steps, each a number for every domain, from rate 1."""
+def own_names(columns: list[str], domains: int) -> list[str]:
+    """Names beside ``columns`` for the tokens and one posterior a domain."""
+    return storage.unused(columns, "_tokens", *(f"_p_{k}" for k in range(domains)))
+
+
+GRID = 1024
+
+
+def on_grid(p: np.ndarray) -> np.ndarray:
+    """Rows of probabilities as multiples of 1/GRID that add up to 1: rounded down, the rest to the largest remainders."""
+    low = np.floor(p * GRID)
+    rest = np.rint(GRID - low.sum(1)).astype(np.int64)
+    rank = np.argsort(np.argsort(low - p * GRID, 1, kind="stable"), 1)
+    return (low + (rank < rest[:, None])) / GRID
+
+
+def rate_column(steps: list[np.ndarray], names: list[str]) -> Column:
+    """The rate after the given steps, each a number for every domain, from rate 1; names: the posteriors' columns."""
     r = F.lit(1.0)
     for g in steps:
-        r = F.greatest(F.lit(0.0), r - sum(F.lit(float(x)) * F.col(f"_p_{k}") for k, x in enumerate(g)))
+        r = F.greatest(F.lit(0.0), r - sum(F.lit(float(x)) * F.col(c) for c, x in zip(names, g, strict=True)))
     return r
 
 
-def fit_rates(table: DataFrame, targets: list[float], most_steps: int = 40, close: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps, the totals that they give and the wanted totals. The total of all tokens is kept."""
+def fit_rates(table: DataFrame, names: list[str], targets: list[float], most_steps: int = 100, close: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Steps, the totals that they give and the wanted totals. names: as ``own_names`` gives them. The total of all tokens is kept."""
+    tokens, *p = names
+    cells = storage.settle(table.groupBy(*p).agg(F.sum(tokens).alias(tokens)), "mixing-cells")
     k = range(len(targets))
-    first = table.agg(*(F.sum(F.col("_tokens") * F.col(f"_p_{i}")) for i in k), *(F.sum(F.col("_tokens") * F.col(f"_p_{i}") * F.col(f"_p_{j}")) for i in k for j in k)).first()
+    first = cells.agg(*(F.sum(F.col(tokens) * F.col(p[i])) for i in k), *(F.sum(F.col(tokens) * F.col(p[i]) * F.col(p[j])) for i in k for j in k)).first()
     totals = np.array([x or 0.0 for x in first[: len(targets)]])
     curve = np.array([x or 0.0 for x in first[len(targets) :]]).reshape(len(targets), -1)
     goal = np.array(targets) / max(sum(targets), 1e-300) * totals.sum()
     # a step of 1/(row sum) in each domain never overshoots
     scale = np.maximum(curve.sum(1), 1e-12)
+    whole = max(goal.sum(), 1e-12)
     steps: list[np.ndarray] = []
-    for _ in range(most_steps):
-        miss = totals - goal
-        if np.abs(miss).max(initial=0) <= close * max(totals.sum(), goal.sum(), 1e-12):
-            break
-        steps.append(np.where(scale > 1e-9, miss / scale, 0.0))
-        r = rate_column(steps)
-        totals = np.array([x or 0.0 for x in table.agg(*(F.sum(F.col("_tokens") * r * F.col(f"_p_{i}")) for i in k)).first()])
+    misses = [np.abs(totals - goal).max(initial=0) / whole]
+    while misses[-1] > close and len(steps) < most_steps and not (len(misses) > 10 and misses[-1] > 0.99 * misses[-11]):
+        steps.append(np.where(scale > 1e-9, (totals - goal) / scale, 0.0))
+        r = rate_column(steps, p)
+        totals = np.array([x or 0.0 for x in cells.agg(*(F.sum(F.col(tokens) * r * F.col(p[i])) for i in k)).first()])
+        misses.append(np.abs(totals - goal).max(initial=0) / whole)
+    if misses[-1] > max(close, 1e-3):
+        warnings.warn(f"the mixture misses a target by {misses[-1]:.2%} of all tokens after {len(steps)} steps", stacklevel=2)
+    storage.discard(table.sparkSession, cells)
     return steps, totals, goal
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
     """Per row: doc_id, tokens, the posterior of each domain (p_<domain>) and rate."""
     domains = list(targets)
+    tokens, *p = names = own_names(["doc_id"], len(domains))
     table = storage.settle(posteriors(docs, labelled, domains, **options), "posteriors")
-    steps, _, _ = fit_rates(table, list(targets.values()))
-    return table.select("doc_id", F.col("_tokens").alias("tokens"), *(F.col(f"_p_{k}").alias(f"p_{d}") for k, d in enumerate(domains)), rate_column(steps).alias("rate"))
+    steps, _, _ = fit_rates(table, names, list(targets.values()))
+    return table.select("doc_id", F.col(tokens).alias("tokens"), *(F.col(c).alias(f"p_{d}") for c, d in zip(p, domains, strict=True)), rate_column(steps, p).alias("rate"))
 
 
 def copies(rate: Column, key: Column, seed: int = 0) -> Column:
@@ -132,10 +157,12 @@ def copies(rate: Column, key: Column, seed: int = 0) -> Column:
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says. The texts are written once beside their posteriors and not shuffled."""
+    names = own_names(docs.columns, len(targets))
+    n, copy = storage.unused([*docs.columns, *names], "_n", "_copy")
     table = storage.settle(posteriors(docs, labelled, list(targets), with_columns=True, **options), "mixing")
-    steps, _, _ = fit_rates(table, list(targets.values()))
-    drawn = table.withColumn("_n", copies(rate_column(steps), F.col("doc_id"))).filter("_n > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    steps, _, _ = fit_rates(table, names, list(targets.values()))
+    drawn = table.withColumn(n, copies(rate_column(steps, names[1:]), F.col("doc_id"))).filter(F.col(n) > 0)
+    return drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*map(storage.quoted, docs.columns))
 
 
 def labelled_by_lang(docs: DataFrame, labels: DataFrame) -> DataFrame:

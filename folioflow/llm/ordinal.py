@@ -10,7 +10,8 @@ Grades: 0 toxic, 1 poor, 2 good.
 
 Defined cases: null and empty texts have score 0 and are scored like any
 other; rated rows without a matching text, or with a null rating, are left out
-of the fit; equal rows count once each; with no rated rows at all every grade
+of the fit; an id that is rated or listed several times counts once, with its
+worst grade and its smallest text; repeated rows are all scored; with no rated rows at all every grade
 is as likely as any other and nothing is rejected; further columns are ignored.
 """
 
@@ -105,13 +106,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows_bound: int = FIT_ROWS, toke
     """docs: doc_id, text; labels: doc_id, quality, toxic."""
     rated = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).filter("grade IS NOT NULL")
     chosen = features.bounded_sample(rated, "doc_id", fit_rows_bound)
-    sample = docs.select("doc_id", "text").filter("text IS NOT NULL").join(chosen, "doc_id")
+    # an id that several texts share counts once, with the smallest of them
+    sample = docs.select("doc_id", "text").filter("text IS NOT NULL").join(chosen, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     return fit_rows(*features.training_rows(sample, "grade", tokenizer or T.default_path()))
 
 
 def score(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, expected_grade, tail_prob = P(the best grade), and kept: tail_prob >= ``least_tail``."""
     path = tokenizer or T.default_path()
+    storage.on_workers(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one weight a slot
     src = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
 
@@ -135,6 +138,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, token
     """The rows of ``docs`` that the classifier keeps, all columns, in one pass without a join."""
     path = tokenizer or T.default_path()
     model = fit(docs, labels, tokenizer=path)
+    storage.on_workers(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -613,12 +613,13 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``df`` with repeated bytes cut out of the text; halves of cut characters go too, and ``length_col`` is set anew."""
-    spans = repeats(df, id_col, text_col).select(F.col("doc_id").alias("_n"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
     columns = df.columns
+    n, h, gone = storage.unused(columns, "_n", "_h", "_spans")
+    spans = repeats(df, id_col, text_col).select(F.col("doc_id").alias(n), F.col("h").alias(h), F.col("spans").alias(gone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = batch.column("_spans").to_pylist()
+            cut = batch.column(gone).to_pylist()
             texts = batch.column(text_col).to_pylist()
             texts = [without(t.encode(), c).decode(errors="ignore") if c else t for t, c in zip(texts, cut, strict=True)]
             cols = {c: batch.column(c) for c in columns}
@@ -628,5 +629,5 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                 cols[length_col] = pc.if_else(pa.array([bool(c) for c in cut]), length, cols[length_col])
             yield pa.record_batch(list(cols.values()), list(cols))
 
-    keyed = df.withColumn("_n", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("_h", F.xxhash64(text_col))
-    return keyed.join(spans.hint("shuffle_hash"), ["_n", "_h"], "left").select(*columns, "_spans").mapInArrow(run, df.schema)
+    keyed = df.withColumn(n, F.coalesce(F.col(storage.quoted(id_col)).cast("long"), F.lit(-(2**63)))).withColumn(h, F.xxhash64(F.col(storage.quoted(text_col))))
+    return keyed.join(spans.hint("shuffle_hash"), [n, h], "left").select(*map(storage.quoted, columns), gone).mapInArrow(run, df.schema)

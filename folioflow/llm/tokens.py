@@ -236,6 +236,16 @@ class WordBpe:
         per_word[odd] = [len(g) for g in got]
         return ids, per_word
 
+    def count_words(self, words: pa.Array, cut: tuple[pa.Array, np.ndarray, np.ndarray, list[int]]) -> np.ndarray:
+        """Ids a word, from the words' cut."""
+        pieces, codes, n_pieces, odd = cut
+        _, counts = self.encode_pieces(pieces)
+        per_word = sums(counts[codes], n_pieces)
+        if odd:
+            got = self.library.encode_batch(words.take(pa.array(odd)).to_pylist(), add_special_tokens=False)
+            per_word[odd] = [len(e.ids) for e in got]
+        return per_word
+
     # -- texts -> ids ----------------------------------------------------------
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and counts of whole texts; null counts as empty."""
