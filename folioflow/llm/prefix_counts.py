@@ -10,6 +10,12 @@ same two tokens back. One further step with the word-ending tokens gives
 document's count at any byte is the sum of its earlier words and one look-up
 in the table of the word that the cut falls into.
 
+Words of any script go this way. Those that the fast cutter does not take (other
+scripts, apostrophes, special strings) are normalised and cut once by the
+library's own steps; a cut in a word then falls into one piece, and only three
+kinds of cut need a piece of their own: inside a contraction ('r of 're), inside
+a special string, and between characters that composition joins.
+
 Defined cases: null and empty text have 0 bytes and 0 tokens; repeated rows
 and ids are kept as they come; further columns are ignored; an empty table
 gives an empty result. Special strings count as the library counts them.
@@ -17,6 +23,9 @@ gives an empty result. Special strings count as the library counts them.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +38,7 @@ from folioflow.llm import storage
 from folioflow.llm import tokens as T
 
 RADIX = np.uint64(0x100000001B3)
-#: Inside words that only the library reads, prefixes are tabled up to this many characters; later ones are asked of the library when needed.
-ODD_CHARS = 64
+CONTRACTIONS = {"'re", "'ve", "'ll"}  #: fixed values: those of which a part is two pieces
 
 
 class PrefixDp:
@@ -149,26 +157,28 @@ class PrefixDp:
             h = (h * int(RADIX) + b + 1) % 2**64
             prefix[i + 1] = h
         power = np.array([pow(int(RADIX), int(k), 2**64) for k in back], np.uint64)
-        at = np.arange(1, width + 1)[:, None] - back
-        key = prefix[1:, None] - prefix[np.maximum(at, 0)] * power
-        ending, inner = (np.where(at >= 0, t.get(key.ravel()).reshape(key.shape), T.NONE) for t in (self.final, self.inner))
         last, inside = [-1] * (width + 1), [0] * (width + 1)
         counts = np.zeros(width, np.int32)
         known: dict[tuple[int, int], bool] = {}
-        for i in range(1, width + 1):
-            for rows, stop in ((ending, True), (inner, False)):
-                row = rows[i - 1]
-                for k in np.flatnonzero(row != T.NONE)[::-1].tolist():
-                    size, tok = k + 1, int(row[k])
-                    pair = (last[i - size], tok)
-                    if size < i and pair not in known:
-                        known[pair] = bool(self.may_follow(np.array([pair[0]]), np.array([tok]))[0])
-                    if size == i or known[pair]:
-                        if stop:
-                            counts[i - 1] = inside[i - size] + 1
-                        else:
-                            inside[i], last[i] = inside[i - size] + 1, tok
-                        break
+        for lo in range(0, width, 1 << 12):
+            ends = np.arange(lo + 1, min(lo + (1 << 12), width) + 1)
+            at = ends[:, None] - back
+            key = prefix[ends, None] - prefix[np.maximum(at, 0)] * power
+            ending, inner = (np.where(at >= 0, t.get(key.ravel()).reshape(key.shape), T.NONE) for t in (self.final, self.inner))
+            for i in ends.tolist():
+                for rows, stop in ((ending, True), (inner, False)):
+                    row = rows[i - lo - 1]
+                    for k in np.flatnonzero(row != T.NONE)[::-1].tolist():
+                        size, tok = k + 1, int(row[k])
+                        pair = (last[i - size], tok)
+                        if size < i and pair not in known:
+                            known[pair] = bool(self.may_follow(np.array([pair[0]]), np.array([tok]))[0])
+                        if size == i or known[pair]:
+                            if stop:
+                                counts[i - 1] = inside[i - size] + 1
+                            else:
+                                inside[i], last[i] = inside[i - size] + 1, tok
+                            break
         for i in np.flatnonzero((data[1:] & 0xC0) == 0x80).tolist():
             counts[i] = counts[i - 1] if i else 0
         return counts
@@ -194,21 +204,108 @@ class PrefixDp:
         plain[odd] = False
         out[np.repeat(plain, size)] = got
         at = np.cumsum(size) - size
-        for k, w in zip(odd, words.take(pa.array(odd)).to_pylist(), strict=True):
-            out[at[k] : at[k] + size[k]] = self.odd_word(w)
+        for k, counts in zip(odd, OddWords(self).counts(words.take(pa.array(odd)).to_pylist()), strict=True):
+            out[at[k] : at[k] + size[k]] = counts
         return out, size
 
-    def odd_word(self, word: str) -> np.ndarray:
-        """The library's counts at each character; -1 before the end of a very long one, where ``at`` asks again."""
-        size = [len(c.encode()) for c in word]
-        out = np.full(sum(size), -1, np.int32)
-        out[-1] = len(self.bpe.library.encode(word, add_special_tokens=False).ids)
-        if len(word) <= ODD_CHARS:
-            got = self.bpe.library.encode_batch([word[: k + 1] for k in range(len(word))], add_special_tokens=False)
-            ends = np.cumsum(size)
-            out[:] = np.concatenate([[0], [len(e.ids) for e in got]])[np.searchsorted(ends, np.arange(len(out)) + 1, "right")]
+
+class OddWords:
+    """Prefix counts of words that the fast cutter does not take."""
+
+    def __init__(self, dp: PrefixDp):
+        self.dp, self.library = dp, dp.bpe.library
+        self.special = re.compile("(" + "|".join(map(re.escape, dp.bpe.specials)) + ")") if dp.bpe.specials else None
+        self.normal: dict[str, str] = {}
+        self.needed: dict[str, int] = {}
+
+    def norm(self, text: str) -> str:
+        if text not in self.normal:
+            self.normal[text] = self.library.normalizer.normalize_str(text)
+        return self.normal[text]
+
+    def cut(self, text: str) -> list[tuple[int, int]]:
+        """Places of the pieces of normalised text."""
+        return [at for _, at in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def piece(self, text: str) -> int:
+        return self.needed.setdefault(text, len(self.needed))
+
+    def clusters(self, text: str) -> list[str]:
+        """Runs of characters that composition may join; most are one character."""
+        out: list[str] = []
+        for c in text:
+            p = out[-1][-1] if out else ""
+            joins = p and (unicodedata.combining(c) or unicodedata.normalize("NFC", p + c) != unicodedata.normalize("NFC", p) + unicodedata.normalize("NFC", c))
+            if joins:
+                out[-1] += c
+            else:
+                out.append(c)
         return out
 
+    def plain(self, text: str) -> tuple[list[int], list[tuple[int, list[tuple[int, int]]]]] | None:
+        """The pieces of a text without special strings, and for each of its characters what the text up to it consists of: so many of these pieces, then further ones as (piece, bytes of it; -1 for all)."""
+        groups = self.clusters(text)
+        whole = "".join(self.norm(g) for g in groups)
+        if whole.replace(" ", "") != self.library.normalizer.normalize_str(text).replace(" ", ""):
+            return None
+        places = self.cut(whole)
+        names = [self.piece(whole[a:b]) for a, b in places]
+        starts = [a for a, _ in places]
+        out, at = [], 0
+        for g in groups:
+            for k in range(1, len(g)):  # a cut inside what composition joins: the last pieces anew
+                first = max(bisect_right(starts, at) - 3, 0)
+                begin = starts[first] if starts else 0
+                tail = whole[begin:at] + self.norm(g[:k])
+                out.append((first, [(self.piece(tail[a:b]), -1) for a, b in self.cut(tail)]))
+            at += len(self.norm(g))
+            k = bisect_right(starts, at - 1) - 1 if at else -1
+            if k < 0:
+                out.append((0, []))
+            elif at >= places[k][1]:
+                out.append((k + 1, []))
+            elif whole[places[k][0] : places[k][1]] in CONTRACTIONS and at - starts[k] == 2:
+                out.append((k, [(self.piece(whole[starts[k]]), -1), (self.piece(whole[at - 1]), -1)]))
+            else:
+                out.append((k, [(names[k], len(whole[starts[k] : at].encode()))]))
+        return names, out
+
+    def counts(self, words: list[str]) -> list[np.ndarray]:
+        """Counts at every byte of every word."""
+        plans = []
+        for word in words:
+            parts = self.special.split(word) if self.special else [word]
+            plan = []
+            for k in range(0, len(parts), 2):
+                tail = parts[k + 1] if k + 1 < len(parts) else ""
+                # inside a special string the text so far is plain
+                plan.append((parts[k], tail, self.plain(parts[k] + tail[:-1])))
+            plans.append(plan)
+        flat, length = self.dp.pieces(pa.array(list(self.needed), pa.string()))
+        ends = np.cumsum(length)
+        total = [int(flat[e - 1]) if n else 0 for e, n in zip(ends.tolist(), length.tolist(), strict=True)]
+        begin = (ends - length).tolist()
+        return [self.word(plan, flat, begin, total) for plan in plans]
+
+    def word(self, plan: list, flat: np.ndarray, begin: list[int], total: list[int]) -> np.ndarray:
+        base, out = 0, []
+        for text, tail, got in plan:
+            shown = text + tail[:-1]
+            if got is None:  # no rule covers how this text is normalised: the library's count of every part
+                at = [len(e.ids) for e in self.library.encode_batch([shown[: k + 1] for k in range(len(shown))], add_special_tokens=False)]
+            else:
+                names, cuts = got
+                run = np.concatenate([[0], np.cumsum([total[n] for n in names])]).tolist()
+                at = [run[k] + sum(total[p] if size < 0 else int(flat[begin[p] + size - 1]) for p, size in rest) for k, rest in cuts]
+            before = 0
+            for c, n in zip(shown, at, strict=True):
+                out += [base + before] * (len(c.encode()) - 1) + [base + n]
+                before = n
+            if tail:
+                base += (at[len(text) - 1] if text else 0) + 1
+                out.append(base)
+        return np.array(out, np.int32)
+
 
 class PrefixCounts:
     """Prefix tables of a batch of texts."""
@@ -239,17 +336,14 @@ class PrefixCounts:
         out = np.zeros(len(data) + 1, np.int64)
         out[1:] = np.repeat(np.concatenate([[0], run]), np.diff(np.concatenate([[0], starts, [len(data)]])))
         for c, s, r in zip(codes.tolist(), starts.tolist(), run.tolist(), strict=True):
-            got = self.inside(c, data[s : s + self.size[c]])
+            got = self.inside(c)
             out[s + 1 : s + 1 + len(got)] = r - self.per_word[c] + got
             out[s + 1 + len(got) :] = r
         return out
 
-    def inside(self, code: int, word: bytes) -> np.ndarray:
-        got = self.flat[self.end[code] - self.size[code] : self.end[code]]
-        if (got >= 0).all():
-            return got
-        n = [len(self.dp.bpe.library.encode(word[: i + 1].decode(errors="ignore"), add_special_tokens=False).ids) for i in range(len(word))]
-        return np.array(n, np.int64)
+    def inside(self, code: int) -> np.ndarray:
+        """Counts at every byte of a distinct word."""
+        return self.flat[self.end[code] - self.size[code] : self.end[code]]
 
     def fit_bytes(self, k: int, limit: int) -> int:
         """Bytes of the longest prefix such that it and all shorter ones, cut between characters, have at most ``limit`` tokens."""
@@ -259,7 +353,7 @@ class PrefixCounts:
         codes, starts, run, data = self._words_of(k)
         j = int(np.searchsorted(run, limit, "right"))  # the first word that ends beyond the limit
         room = limit - (int(run[j - 1]) if j else 0)
-        over = np.flatnonzero(self.inside(int(codes[j]), data[starts[j] : starts[j] + self.size[codes[j]]]) > room)
+        over = np.flatnonzero(self.inside(int(codes[j])) > room)
         cut = int(starts[j] + (over[0] if len(over) else self.size[codes[j]]))
         while cut and cut < len(data) and data[cut] & 0xC0 == 0x80:
             cut -= 1

@@ -57,6 +57,27 @@ def test_prefix_counts_at_every_byte():
         assert at.tolist() == [len(ids_of(data[:i].decode(errors="ignore"))) for i in range(len(data) + 1)]
 
 
+def test_prefix_counts_of_all_scripts():
+    dp, rng = prefix_counts.dp_for(T.default_path()), random.Random(3)
+    texts = [
+        "日本語の文章は単語の間に空白がなく、とても長い一つの語になる。" * 4, "Съешь ещё этих мягких французских булок", "they're we'll I've don't 'tis ''re x're' 'r 'l 'v rock'n'roll's",
+        "e\u0301te\u0301 cafe\u0301\u0323 o\u0308\u0304z 각각 한\u1100\u1161\u11a8", "a<|endoftext|>b<|startoftext|><|endoftext|>c<|endof<|endoftext|", "İstanbul ﬁ Ω≠=\u0338 K", "ñandú¿qué?…“x” 12٣४ हिन्दी भाषा ภาษาไทย", "x\u00a0y\u2003\u2003z\u0085w 😀👍🏽é",
+    ]
+    texts += ["".join(rng.choice("ab'rels<|>é\u0301\u0323日5İ \u00a0") for _ in range(60)) for _ in range(30)]
+    for text in texts:
+        at, data = prefix_counts.PrefixCounts(dp, pa.array([text])).at(0), text.encode()
+        want = [len(ids_of(data[:i].decode(errors="ignore"))) for i in range(len(data) + 1)]
+        assert at.tolist() == want, text
+
+
+def test_long_words_of_other_scripts():
+    dp = prefix_counts.dp_for(T.default_path())
+    text = "長い文" * 3000
+    got = prefix_counts.PrefixCounts(dp, pa.array([text])).at(0)
+    for i in (1, 2, 3, 100, 9001, len(text) * 3):
+        assert got[i] == len(ids_of(text.encode()[:i].decode(errors="ignore")))
+
+
 def test_count_tokens(odd, none):
     rows = prefix_counts.count_tokens(odd).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == sorted((k, len((t or "").encode()), len(ids_of(t))) for k, t in [*enumerate(ODD), (3, "a")])
