@@ -15,7 +15,7 @@ document of smaller id, or earlier in the same document. The work is exact:
     Larsson-Sadakane refinement, finds common prefixes by Kasai's rule, all
     contexts in step, and so groups equal windows and their first place.
 4.  Merging. For split anchors every shard hands on its sorted first windows;
-    they are merged by binary search in the sorted list of all.
+    they are merged by binary search, on their bytes, in the sorted list of all.
 5.  Spans. What is not first is covered; per document the spans are joined.
 
 Documents with equal ids are ordered by a hash of their text; rows that repeat
@@ -207,19 +207,28 @@ def equal_windows(contexts: pa.Array) -> tuple[np.ndarray, ...]:
     return at, owner[at], offset[at], np.cumsum(lcp[at] < WINDOW), data
 
 
-def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows at the given places."""
-    keys = []
-    for radix in (RADIX, 0xC2B2AE3D27D4EB4F):
-        h, step, parts = TABLE[data], 1, {}
-        while step <= 64:
-            parts[step] = h
-            if step < 64:
-                h = h[:-step] * np.uint64(pow(radix, step, 2**64)) + h[step:]
-            step *= 2
-        k = parts[64][at] * np.uint64(pow(radix, 36, 2**64)) + parts[32][at + 64] * np.uint64(pow(radix, 4, 2**64)) + parts[4][at + 96]
-        keys.append(finish(k).view(np.int64))
-    return keys[0], keys[1]
+def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows at the given places: they say where windows meet, not whether they are equal."""
+    h, step, parts = TABLE[data], 1, {}
+    while step <= 64:
+        parts[step] = h
+        if step < 64:
+            h = h[:-step] * np.uint64(pow(RADIX, step, 2**64)) + h[step:]
+        step *= 2
+    k = parts[64][at] * np.uint64(pow(RADIX, 36, 2**64)) + parts[32][at + 64] * np.uint64(pow(RADIX, 4, 2**64)) + parts[4][at + 96]
+    return finish(k).view(np.int64)
+
+
+def window_bytes(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    flat = np.ascontiguousarray(data[at[:, None] + np.arange(WINDOW)])
+    edge = np.arange(0, WINDOW * len(at) + 1, WINDOW, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edge), pa.py_buffer(flat)])
+
+
+def as_strings(windows: pa.Array) -> np.ndarray:
+    """Windows as strings of fixed length, which numpy orders by their bytes."""
+    off, data = T.buffers(windows)
+    return np.ascontiguousarray(data[off[0] : off[-1]]).view(f"S{WINDOW}")
 
 
 # -- stage 1: repeated anchors ---------------------------------------------------
@@ -327,7 +336,7 @@ def repeated_anchors(src: DataFrame, buckets: int) -> DataFrame:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "doc_id", "h", "n", "places"])
 
     dealt = src.select("doc_id", "h", "text").mapInArrow(deal, "bucket int, kind int, doc_id long, h long, n long, blob binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, doc_id long, h long, n long, places binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "kind int, doc_id long, h long, n long, places binary")
 
 
 # -- stages 2 to 4: contexts, shards, merging --------------------------------------
@@ -366,9 +375,9 @@ def contexts(found: DataFrame) -> DataFrame:
     return found.mapInArrow(cut, "anchor long, context binary, doc_id long, h long, place int, first int")
 
 
-SHARD_NAMES = ["doc_id", "h", "place", "covered", "k1", "k2", "start", "shard"]
-SHARD_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-SHARD_SCHEMA = "doc_id long, h long, place int, covered array<int>, k1 long, k2 long, start int, shard int"
+SHARD_NAMES = ["doc_id", "h", "place", "covered", "key", "window", "start", "shard"]
+SHARD_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+SHARD_SCHEMA = "doc_id long, h long, place int, covered array<int>, key long, window binary, start int, shard int"
 
 
 def shard_results(dealt: DataFrame) -> DataFrame:
@@ -422,9 +431,9 @@ def shard_results(dealt: DataFrame) -> DataFrame:
         lone &= split[use] == 1
         alone, use = use[lone], use[~lone]
         if len(alone):
-            none = pa.nulls(len(alone), pa.int64())
+            none = [pa.nulls(len(alone), kind) for kind in SHARD_TYPES[4:]]
             empty = pa.array([[]], SHARD_TYPES[3]).take(pa.array(np.zeros(len(alone), np.int64)))
-            cols = [pa.array(doc[alone]), pa.array(own[alone]), pa.array(place[alone]), empty, none, none, pa.nulls(len(alone), pa.int32()), pa.nulls(len(alone), pa.int32())]
+            cols = [pa.array(doc[alone]), pa.array(own[alone]), pa.array(place[alone]), empty, *none]
             yield pa.record_batch(cols, SHARD_NAMES)
         if not len(use):
             return
@@ -456,30 +465,32 @@ def shard_results(dealt: DataFrame) -> DataFrame:
         edge = np.concatenate([[0], np.cumsum(2 * count[shown])]).astype(np.int32)
         covered = pa.ListArray.from_arrays(pa.array(edge), pa.array(runs))
         n = int(shown.sum())
-        none = pa.nulls(n, pa.int64())
-        yield pa.record_batch([pa.array(doc[shown]), pa.array(own[shown]), pa.array(place[shown]), covered, none, none, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], SHARD_NAMES)
+        none = [pa.nulls(n, kind) for kind in SHARD_TYPES[4:]]
+        yield pa.record_batch([pa.array(doc[shown]), pa.array(own[shown]), pa.array(place[shown]), covered, *none], SHARD_NAMES)
         hand = np.flatnonzero(is_first & (split[where] > 1))
         if len(hand):
-            k1, k2 = window_keys(data, at[hand])
-            x = where[hand]
-            for lo in range(0, len(x), 100_000):
-                y = x[lo : lo + 100_000]
-                part = slice(lo, lo + 100_000)
-                cols = [pa.array(doc[y]), pa.array(own[y]), pa.array(place[y]), pa.nulls(len(y), SHARD_TYPES[3]), pa.array(k1[part]), pa.array(k2[part]), pa.array(start[hand][part].astype(np.int32)), pa.array(shard[y])]
+            for lo in range(0, len(hand), 100_000):
+                part = hand[lo : lo + 100_000]
+                x = where[part]
+                cols = [pa.array(doc[x]), pa.array(own[x]), pa.array(place[x]), pa.nulls(len(x), SHARD_TYPES[3]), pa.array(window_hashes(data, at[part])), window_bytes(data, at[part]), pa.array(start[part].astype(np.int32)), pa.array(shard[x])]
                 yield pa.record_batch(cols, SHARD_NAMES)
 
     return dealt.mapInArrow(run, SHARD_SCHEMA)
 
 
-def merge_shards(windows: DataFrame) -> DataFrame:
-    """First windows of split anchors from all shards; those that another shard has earlier come back as covered."""
+def merge_shards(windows: DataFrame, tasks: int) -> DataFrame:
+    """First windows of split anchors from all shards; those that another shard has earlier come back as covered.
+
+    Windows meet by their hash; each shard's sorted run is then looked up, by
+    binary search on the bytes themselves, in the sorted list of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             now = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            k1, k2 = (now.column(c).to_numpy() for c in ("k1", "k2"))
-            cut = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
+            key = now.column("key").to_numpy()
+            cut = np.flatnonzero(key[1:] != key[:-1])
             end = int(cut[-1]) + 1 if len(cut) else 0
             if end:
                 yield merged(now.slice(0, end))
@@ -488,26 +499,23 @@ def merge_shards(windows: DataFrame) -> DataFrame:
             yield merged(rest)
 
     def merged(part: pa.RecordBatch) -> pa.RecordBatch:
-        doc, own, place, start, shard, k1, k2 = (part.column(c).to_numpy() for c in ("doc_id", "h", "place", "start", "shard", "k1", "k2"))
-        order = np.lexsort((start, own, doc, k2, k1))
+        doc, own, place, start, shard = (part.column(c).to_numpy() for c in ("doc_id", "h", "place", "start", "shard"))
+        window = as_strings(part.column("window"))
+        order = np.lexsort((start, own, doc, window))
         head = np.ones(len(order), bool)
-        head[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-        lead = order[head]
-        known = k1[lead]
+        head[1:] = window[order][1:] != window[order][:-1]
+        lead = order[head]  # the first place of each distinct window, in the order of the windows
+        known = window[lead]
         late = np.zeros(len(order), bool)
-        for s in np.unique(shard).tolist():  # each shard's run against the sorted list of all
-            run = np.flatnonzero(shard == s)
-            lo, hi = np.searchsorted(known, k1[run], "left"), np.searchsorted(known, k1[run], "right")
-            at = lo.copy()
-            for k in np.flatnonzero(hi - lo > 1).tolist():
-                at[k] = lo[k] + np.searchsorted(k2[lead[lo[k] : hi[k]]], k2[run[k]])
-            ahead = lead[at]
-            late[run] = (doc[run] != doc[ahead]) | (own[run] != own[ahead]) | (start[run] != start[ahead])
+        for s in np.unique(shard).tolist():
+            mine = np.flatnonzero(shard == s)
+            ahead = lead[np.searchsorted(known, window[mine])]
+            late[mine] = (doc[mine] != doc[ahead]) | (own[mine] != own[ahead]) | (start[mine] != start[ahead])
         runs = np.stack([start[late], start[late] + 1], 1).astype(np.int32).ravel()
         covered = pa.ListArray.from_arrays(pa.array(np.arange(0, len(runs) + 1, 2, dtype=np.int32)), pa.array(runs))
         return pa.record_batch([pa.array(doc[late]), pa.array(own[late]), pa.array(place[late]), covered], ["doc_id", "h", "place", "covered"])
 
-    met = windows.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    met = windows.repartition(tasks, "key").sortWithinPartitions("key")
     return met.mapInArrow(run, "doc_id long, h long, place int, covered array<int>")
 
 
@@ -542,10 +550,12 @@ def free(spark: SparkSession) -> None:
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, spans): the covered spans of every document that has any."""
     spark = df.sparkSession
+    storage.on_workers(spark)
     # one stand-in on both sides of every join
     src = numbered(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(max(16, total >> 26), 1 << 20))
+    least = 2 * spark.sparkContext.defaultParallelism
+    tasks, buckets = max(least, int(total >> 24)), max(least, int(total >> 26))  # by the bytes of the input, not by a setting
     found = storage.settle(repeated_anchors(src, buckets), "anchors")
     free(spark)
     places = found.filter("kind = 0").groupBy("doc_id", "h").agg(F.max("n").alias("n"), F.collect_list("places").alias("places"))
@@ -557,11 +567,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     near = contexts(src.filter("text IS NOT NULL").join(places.select("doc_id", "h", "places").hint("shuffle_hash"), ["doc_id", "h"]).select("doc_id", "h", "text", "places"))
     dealt = near.join(hot, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(1)))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", "place"), F.col("split")).cast("int"))
-    dealt = dealt.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
+    dealt = dealt.repartition(tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard")
     solved = storage.settle(shard_results(dealt), "shards")
     free(spark)
     own = solved.filter("start IS NULL").select("doc_id", "h", "place", "covered")
-    more = merge_shards(solved.filter("start IS NOT NULL").select("doc_id", "h", "place", "k1", "k2", "start", "shard"))
+    more = merge_shards(solved.filter("start IS NOT NULL").select("doc_id", "h", "place", "key", "window", "start", "shard"), tasks)
     firsts = own.union(more).groupBy("doc_id", "h").agg(F.collect_list(F.struct("place", "covered")).alias("firsts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
