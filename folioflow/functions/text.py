@@ -109,9 +109,9 @@ def content_type(c: Column) -> Column:
 def error_code(detail: Column, status: Column) -> Column:
     """Slug of the detail, 80 characters at most, else a name for the HTTP status."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(detail, F.lit(""))), r"[^a-z0-9]+", "_"), "^_+|_+$", "")
-    names = {400: "bad_request", 401: "unauthorized", 403: "forbidden", 404: "not_found", 409: "conflict", 413: "payload_too_large", 415: "unsupported_media_type", 422: "validation_error", 429: "rate_limited", 503: "service_unavailable"}
+    names = {400: "bad_request", 500: "internal_server_error", 401: "unauthorized", 403: "forbidden", 404: "not_found", 409: "conflict", 413: "payload_too_large", 415: "unsupported_media_type", 422: "validation_error", 429: "rate_limited", 503: "service_unavailable"}
     by = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    return F.when(slug != "", F.left(slug, F.lit(80))).otherwise(F.coalesce(F.try_element_at(by, status), F.lit("error")))
+    return F.when(slug != "", F.left(slug, F.lit(80))).otherwise(F.coalesce(F.try_element_at(by, status), F.lit("request_failed")))
 
 
 def odd_at_least(c: Column, least: int) -> Column:

@@ -110,25 +110,8 @@ def validation_accuracy(spark, sf_dir):
 V = O.VALIDATED
 
 
-@query(V + " SELECT job_id, 'review-' || left(sha256(cast(job_id AS varchar) || '|' || verdict), 24) AS review_task_id, CASE WHEN confidence < 0.5 THEN 'high' WHEN confidence < 0.9 THEN 'medium' ELSE 'normal' END AS priority FROM verdicts WHERE verdict <> 'auto_approved'")
-def review_tasks(spark, sf_dir):
-    t = validated(spark, sf_dir).select("job_id", "verdict", "confidence")
-    named = t.select("job_id", "verdict", outcome.content_id("review-", F.col("job_id").cast("string"), F.col("verdict")).alias("review_task_id"), outcome.priority(F.col("confidence")).alias("priority"))
-    return named.filter("verdict <> 'auto_approved'").drop("verdict")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'urgent' WHEN value / 100 < 0.5 THEN 'high' WHEN value / 100 < 0.9 THEN 'medium' ELSE 'normal' END AS priority FROM events WHERE value IS NOT NULL")
-def review_priority(spark, sf_dir):
-    t = table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    return t.select("event_id", outcome.priority(F.col("value") / 100, F.when(F.col("event_id") % 5 == 0, " Urgent ")).alias("priority"))
-
-
-@query("SELECT event_id, CASE WHEN event_type = 'purchase' OR event_id % 3 = 0 THEN 'success' ELSE 'rejected_approval' END AS status, left(sha256(cast(event_id AS varchar) || '|' || event_type), 24) AS delivery_id FROM events")
-def delivery_receipts(spark, sf_dir):
-    status = F.when(F.col("event_type") == "purchase", " AUTO_approved ").when(F.col("event_id") % 3 == 0, "human_approved").otherwise("pending")
-    t = table(spark, sf_dir, "events")
-    return t.select("event_id", F.when(outcome.approved(status), "success").otherwise("rejected_approval").alias("status"), outcome.content_id("", F.col("event_id").cast("string"), F.col("event_type")).alias("delivery_id"))
-
 
 @query("SELECT c_custkey, '[REDACTED]' AS name, c_mktsegment AS segment, 'Name' AS redacted FROM customer")
 def redact_fields(spark, sf_dir):
@@ -149,11 +132,6 @@ def replay_antijoin(spark, sf_dir):
     return outcome.to_do(table(spark, sf_dir, "orders").select("o_orderkey"), receipts, "o_orderkey")
 
 
-@query("SELECT user_id, CASE WHEN bool_and(event_type <> 'error') THEN 'success' WHEN bool_or(event_type <> 'error') THEN 'partial_success' ELSE 'failed' END AS status, count(*) AS n FROM events GROUP BY user_id")
-def evaluation_metrics(spark, sf_dir):
-    s = F.collect_list(F.when(F.col("event_type") == "error", "failed").otherwise("success"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(s.alias("s"), F.count("*").alias("n")).select("user_id", outcome.roll_up(F.col("s")).alias("status"), "n")
-
 
 RESULTS = "SELECT event_id, 'k' AS ocr_key, 'k' AS layout_key, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'k' END AS classification_key, 'k' AS extraction_key, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'k' END AS validation_key, CASE event_id % 4 WHEN 0 THEN 'delivered' WHEN 1 THEN 'pending_human_review' WHEN 2 THEN 'failed' ELSE 'odd' END AS final_status, CASE WHEN event_id % 8 = 1 THEN 'r' END AS review_task_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'v' END AS total FROM {events}"
 

@@ -21,6 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
     """Run SQL in which ``{name}`` stands for a table of ``sf_dir`` or a given frame."""
     used = set(re.findall(r"\{(\w+)\}", text))
+    # all other braces are text
+    text = "".join(p if re.fullmatch(r"\{\w+\}", p) else p.replace("{", "{{").replace("}", "}}") for p in re.split(r"(\{\w+\})", text))
     return spark.sql(text, **{n: frames.get(n) if n in frames else table(spark, sf_dir, n) for n in used})
 
 
