@@ -165,12 +165,6 @@ def reading_order(spark, sf_dir):
     return L.reading_order(run_sql(spark, sf_dir, BLOCKS)).select("job_id", "id", "reading_order")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn, role, text) AS text, count(*) AS turns FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
-def reading_order_text(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").filter(F.trim("text") != "")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), F.trim(x["text"])))
-    return t.groupBy("conv_id").agg(F.array_join(parts, "\n").alias("text"), F.count("*").alias("turns"))
-
 
 @query(f"WITH {N} SELECT job_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM n GROUP BY job_id")
 def bbox_union(spark, sf_dir):

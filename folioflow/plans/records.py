@@ -110,7 +110,7 @@ SENDS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN '200' WHEN 1 THEN '500,2
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'success' ELSE 'failed' END AS status, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS tries,
- CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 204 WHEN 2 THEN 301 WHEN 4 THEN 404 END AS last_code, CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 1.5 WHEN 3 THEN 0.5 ELSE 0.0 END AS waited FROM events""")
+ CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 204 WHEN 2 THEN 301 WHEN 4 THEN 404 END AS last_code, cast(CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 1.5 WHEN 3 THEN 0.5 ELSE 0.0 END AS double) AS waited FROM events""")
 def send_attempts(spark, sf_dir):
     t = run_sql(spark, sf_dir, SENDS).withColumn("codes", F.transform(F.split("codes", ","), lambda c: F.nullif(c, F.lit("")).try_cast("int")))
     return t.select("event_id", R.attempts(F.col("codes"), 2, 0.5).alias("a")).select("event_id", "a.*")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.plans import analytics, contracts, documents, intake, records, streams
+from folioflow.plans import analytics, artifacts, contracts, documents, intake, records, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (documents, intake, analytics, contracts, records, streams):
+for _module in (documents, intake, analytics, artifacts, contracts, records, streams):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
