@@ -39,6 +39,51 @@ def firing(samples: DataFrame, hold_seconds: int, labels: list[str]) -> DataFram
     return t.withColumn("state", state).drop("_at", "_turn", "_since")
 
 
+def alert_states(samples: DataFrame, hold_seconds: int, labels: list[str]) -> DataFrame:
+    """States of a boolean condition (column bad): inactive, pending, firing once it has held for ``hold_seconds``, resolved at the first sample after that."""
+    t = firing(samples, hold_seconds, labels)
+    before = F.lag("state").over(Window.partitionBy(*labels).orderBy(F.col("ts")))
+    return t.withColumn("state", F.when((F.col("state") == "inactive") & (before == "firing"), "resolved").otherwise(F.col("state")))
+
+
+def sum_by(samples: DataFrame, labels: list[str], value: str = "value") -> DataFrame:
+    """One value for each time and set of labels."""
+    return samples.groupBy(*labels, "ts").agg(F.sum(value).alias(value))
+
+
+def missing_ticks(ticks: DataFrame, samples: DataFrame) -> DataFrame:
+    """Every tick with whether any sample has its time; ticks: ts."""
+    seen = samples.select("ts").distinct().withColumn("_seen", F.lit(True))
+    return ticks.join(seen, "ts", "left").select("ts", F.col("_seen").isNull().alias("bad"))
+
+
+def ratio(over: DataFrame, under: DataFrame, labels: list[str]) -> DataFrame:
+    """The quotient of two series with the same labels and times; times that only one has are left out."""
+    a, b = over.select(*labels, "ts", F.col("value").alias("_a")), under.select(*labels, "ts", F.col("value").alias("_b"))
+    return a.join(b, [*labels, "ts"]).select(*labels, "ts", (F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0))).alias("value"))
+
+
+def flushes(alerts: DataFrame, groups: list[str], wait: int = 30, interval: int = 300) -> DataFrame:
+    """Notifications of grouped alerts: a group's first goes out ``wait`` seconds after its first change, and from then on at most one every ``interval`` seconds with all changes since. alerts: groups, ts, state (firing or resolved changes)."""
+    at = F.col("ts").cast("timestamp").cast("long")
+    t = alerts.withColumn("_at", at).withColumn("_first", F.min("_at").over(Window.partitionBy(*groups)))
+    k = F.greatest(F.lit(0), F.ceil((F.col("_at") - F.col("_first") - wait) / interval)).cast("long")
+    t = t.withColumn("flush", (F.col("_first") + wait + k * interval).cast("timestamp"))
+    return t.groupBy(*groups, "flush").agg(F.count_if(F.col("state") == "firing").alias("firing"), F.count_if(F.col("state") == "resolved").alias("resolved"))
+
+
+def running_counters(log: DataFrame, labels: list[str]) -> DataFrame:
+    """Counter samples of a request log: the number of requests of the labels up to each time."""
+    n = log.groupBy(*labels, "ts").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*labels).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return n.select(*labels, "ts", F.sum("_n").over(w).cast("double").alias("value"))
+
+
+def histogram_totals(log: DataFrame, value: str, labels: list[str]) -> DataFrame:
+    """The sum and count series beside a histogram's buckets."""
+    return log.groupBy(*labels).agg(F.sum(value).alias("sum"), F.count(value).alias("count"))
+
+
 def absent(spine: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
     return spine.join(samples, keys, "left_anti")
 
