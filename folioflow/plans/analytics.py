@@ -101,11 +101,6 @@ def promotion_evidence(spark, sf_dir):
     return quality.promotion_failures(quality.gate(_aggregate(spark, sf_dir)), spark.createDataFrame(POLICY, "metric string, threshold double"))
 
 
-@query("SELECT lang, quality, count(*) AS n, round(avg(toxic), 6) AS toxic_share FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY ALL")
-def validation_accuracy(spark, sf_dir):
-    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return t.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.round(F.avg("toxic"), 6).alias("toxic_share"))
-
 
 V = O.VALIDATED
 
