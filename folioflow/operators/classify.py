@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
-from folioflow.functions.text import fold, sealed
+from folioflow.functions.text import fold
+
+
+PATTERNS = [p for *_, patterns in S.ROUTE_RULES for p, _ in patterns]
+
+
+def core(pattern: str) -> str:
+    """The longest run of letters that any match of the pattern holds."""
+    bare = re.sub(r"\(\?:[^)]*\)|\\[a-z][*+?]?|[a-z]\?", " ", pattern)
+    return max(re.findall(r"[a-z]+", bare), key=len)
+
+
+def signals_of(text: Column) -> Column:
+    """One bit for each pattern of ``PATTERNS`` that the text matches. A pattern is tried only where its core occurs."""
+    bits = (F.when(F.contains(text, F.lit(core(p))) & text.rlike(p), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(PATTERNS))
+    return reduce(lambda a, b: a + b, bits)
 
 
-def candidates(text: Column, ocr_confidence: Column) -> Column:
-    """Array of one struct a route: confidence, signals, order, names and threshold."""
+def candidates(signals: Column, ocr_confidence: Column) -> Column:
+    """Array of one struct a route: confidence, signals, order, names and threshold. signals: as ``signals_of`` gives them."""
     base = F.least(ocr_confidence, F.lit(1.0)) * 0.12
-    out = []
+    out, first = [], 0
     for k, (route, profile, mode, threshold, patterns) in enumerate(S.ROUTE_RULES):
-        hits = [text.rlike(p) for p, _ in patterns]
+        hits = [signals.bitwiseAND(F.lit(1 << (first + j))) != 0 for j in range(len(patterns))]
         score = sum((F.when(h, F.lit(w)).otherwise(0.0) for h, (_, w) in zip(hits, patterns, strict=True)), F.lit(0.0))
         confidence = F.round(F.least(F.lit(0.99), F.lit(0.20) + F.least(score, F.lit(0.85)) + base), 4)
-        signals = sum((h.cast("int") for h in hits), F.lit(0))
-        out.append(F.struct(confidence.alias("confidence"), signals.alias("signals"), F.lit(-k).alias("turn"), F.lit(route).alias("route"), F.lit(profile).alias("profile"), F.lit(mode).alias("mode"), F.lit(threshold).alias("threshold")))
+        n = F.bit_count(signals.bitwiseAND(F.lit(((1 << len(patterns)) - 1) << first))).cast("int")
+        out.append(F.struct(confidence.alias("confidence"), n.alias("signals"), F.lit(-k).alias("turn"), F.lit(route).alias("route"), F.lit(profile).alias("profile"), F.lit(mode).alias("mode"), F.lit(threshold).alias("threshold")))
+        first += len(patterns)
     return F.array(*out)
 
 
 def scores(df: DataFrame) -> DataFrame:
     """One row per document and route. df: job_id, text, ocr_confidence."""
     folded = df.select("job_id", fold(F.col("text")).alias("_t"), "ocr_confidence")
-    c = folded.select("job_id", F.explode(candidates(F.col("_t"), F.col("ocr_confidence"))).alias("c"))
+    marked = folded.select("job_id", signals_of(F.col("_t")).alias("_s"), "ocr_confidence")
+    c = marked.select("job_id", F.explode(candidates(F.col("_s"), F.col("ocr_confidence"))).alias("c"))
     return c.select("job_id", "c.route", "c.confidence", "c.signals", "c.threshold")
 
 
@@ -39,8 +59,9 @@ def classify(df: DataFrame) -> DataFrame:
     """
     s = S.SETTINGS
     t = df.withColumn("_t", F.coalesce(fold(F.col("text")), F.lit("")))
-    guarded = (F.length("_t") < s.min_text_chars) | F.col("fallback_used")
-    t = t.withColumn("_best", F.when(~guarded, F.array_max(candidates(F.col("_t"), F.col("ocr_confidence")))))
+    guarded = (F.length("_t") < s.min_text_chars) | F.coalesce("fallback_used", F.lit(False))
+    t = t.withColumn("_s", F.when(~guarded, signals_of(F.col("_t"))))
+    t = t.withColumn("_best", F.when(F.col("_s").isNotNull(), F.array_max(candidates(F.col("_s"), F.col("ocr_confidence")))))
     good = F.col("_best").isNotNull() & (F.col("_best.confidence") >= F.col("_best.threshold"))
     confidence = F.when(F.col("fallback_used"), 0.35).when(F.col("_best").isNull(), 0.45).when(good, F.col("_best.confidence")).otherwise(0.50)
     route, profile, mode = S.GENERIC
@@ -56,4 +77,4 @@ def classify(df: DataFrame) -> DataFrame:
     c = F.col("classification_confidence")
     t = t.withColumn("confidence_band", F.when(c >= 0.85, "high").when(c >= s.auto_route, "medium").otherwise("low"))
     t = t.withColumn("auto_route", (c >= s.auto_route) & (F.col("route") != "generic"))
-    return sealed(t.withColumn("requires_review", ~F.col("auto_route")))
+    return t.withColumn("requires_review", ~F.col("auto_route"))

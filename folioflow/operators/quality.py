@@ -16,12 +16,13 @@ def ratio(a: Column, b: Column) -> Column:
 def compare_fields(expected: Column, predicted: Column) -> Column:
     """Counts, precision, recall and F1 of two field maps. Values equal after normalising count as correct, two empty ones too."""
     comparable = F.map_filter(expected, lambda k, v: (k != "line_item_count") & (F.coalesce(v, F.lit("")) != ""))
-    keys = F.map_keys(comparable)
-    got = lambda k: X.field_value(k, F.try_element_at(predicted, k))
-    n = F.size(keys)
-    present = F.size(F.filter(keys, lambda k: got(k) != ""))
-    correct = F.size(F.filter(keys, lambda k: got(k) == X.field_value(k, F.element_at(comparable, k))))
-    return F.struct(n.alias("expected_field_count"), present.alias("predicted_present_count"), correct.alias("correct_field_count"))
+    pairs = F.transform(F.map_entries(comparable), lambda e: F.struct(X.field_value(e["key"], F.try_element_at(predicted, e["key"])).alias("got"), X.field_value(e["key"], e["value"]).alias("want")))
+
+    def counted(a: Column) -> Column:
+        present, correct = F.size(F.filter(a, lambda x: x["got"] != "")), F.size(F.filter(a, lambda x: x["got"] == x["want"]))
+        return F.struct(F.size(a).alias("expected_field_count"), present.alias("predicted_present_count"), correct.alias("correct_field_count"))
+
+    return X.let(pairs, counted)
 
 
 def scores(df: DataFrame) -> DataFrame:

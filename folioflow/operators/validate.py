@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
-from folioflow.functions.text import collapse, route_name, sealed, strip
+from folioflow.functions.text import collapsed_value, route_name
 
 
 def infer_route(fields: Column, explicit: Column) -> Column:
@@ -27,7 +27,8 @@ def _list(route: Column, part: int) -> Column:
 
 
 def _value(fields: Column, name: Column) -> Column:
-    return strip(F.coalesce(F.try_element_at(fields, name), F.lit("")))
+    """A field of the cleaned map; empty if absent."""
+    return F.coalesce(F.try_element_at(fields, name), F.lit(""))
 
 
 def validate(df: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def validate(df: DataFrame) -> DataFrame:
     df has fields, confidence, field_confidences, used_vlm_fallback, route.
     """
     s = S.SETTINGS
-    t = df.withColumn("_f", F.transform_values("fields", lambda k, v: F.coalesce(collapse(v), F.lit(""))))
+    t = df.withColumn("_f", F.transform_values("fields", lambda k, v: F.coalesce(collapsed_value(v), F.lit(""))))
     t = t.withColumn("resolved_route", infer_route(F.col("_f"), F.col("route")))
     route, f, conf = F.col("resolved_route"), F.col("_f"), F.col("confidence")
     t = t.withColumn("_required", _list(route, 0)).withColumn("_wanted", _list(route, 1)).withColumn("_dates", _list(route, 2)).withColumn("_money", _list(route, 3))
@@ -72,4 +73,4 @@ def validate(df: DataFrame) -> DataFrame:
         result("required_field_confidence", F.size("_low") > 0, names="_low"), result("document_confidence", conf < s.auto_approve), result("llm_fallback_policy", policy)))
     t = t.withColumn("requires_human_review", F.size("reasons") > 0)
     t = t.withColumn("verdict", F.when(F.col("_reject"), "rejected").when(F.col("requires_human_review"), "needs_review").otherwise("auto_approved"))
-    return sealed(t.drop("_f", "_required", "_wanted", "_dates", "_money", "_no_req", "_no_rec", "_bad_date", "_bad_money", "_low", "_reject"))
+    return t.drop("_f", "_required", "_wanted", "_dates", "_money", "_no_req", "_no_rec", "_bad_date", "_bad_money", "_low", "_reject")

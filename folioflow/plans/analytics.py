@@ -31,13 +31,19 @@ def query(sql: str | None = None):
 PREDICTED = f"SELECT job_id, expected_route, text, CASE job_id % 5 WHEN 0 THEN replace(text, 'a', 'o') WHEN 1 THEN replace(text, 'Date', 'Dute now') WHEN 2 THEN substr(text, 1, 40) ELSE text END AS predicted FROM ({CORPUS})"
 
 
-@query(f"SELECT job_id, round(levenshtein(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(predicted, '\\s+', ' ', 'g')))) / cast(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as double), 6) AS cer FROM ({plain_sql(PREDICTED)}) WHERE job_id % 12 <> 5")
+@query(f"SELECT job_id, round(levenshtein(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(predicted, '\\s+', ' ', 'g')))) / cast(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as double), 6) AS cer FROM ({plain_sql(PREDICTED)})")
 def ocr_cer(spark, sf_dir):
-    # the SQL leaves out one order key in twelve; the query has them all
     return run_sql(spark, sf_dir, PREDICTED).select("job_id", X.cer(F.col("text"), F.col("predicted")).alias("cer"))
 
 
-@query()
+#: The edit distance of two word lists, a word of the first a step: what a step costs without insertions, then the cheapest run of insertions up to each place.
+WER = f"""WITH RECURSIVE p AS (SELECT job_id, string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' ') AS e, list_filter(string_split(lower(trim(regexp_replace(predicted, '\\s+', ' ', 'g'))), ' '), lambda x: x <> '') AS w FROM ({plain_sql(PREDICTED)})),
+d AS (SELECT job_id, e, w, 0 AS i, range(0, len(w) + 1) AS r FROM p
+ UNION ALL SELECT job_id, e, w, i + 1, list_transform(range(1, len(w) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: c[k] + j - k))) FROM (SELECT *, list_transform(range(0, len(w) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(r[j + 1] + 1, r[j] + CASE WHEN w[j] = e[i + 1] THEN 0 ELSE 1 END) END) AS c FROM d WHERE i < len(e)))
+SELECT job_id, round(r[len(w) + 1] / cast(len(e) AS double), 6) AS wer FROM d WHERE i = len(e)"""
+
+
+@query(WER)
 def ocr_wer(spark, sf_dir):
     return run_sql(spark, sf_dir, PREDICTED).select("job_id", X.wer(F.col("text"), F.col("predicted")).alias("wer"))
 
@@ -115,12 +121,13 @@ def redact_fields(spark, sf_dir):
     return t.select("c_custkey", F.element_at("m", "Name").alias("name"), F.element_at("m", "segment").alias("segment"), F.array_join("r", ",").alias("redacted"))
 
 
-@query("SELECT page_id, CASE WHEN lower(split_part(split_part(url, '://', 2), '/', 1)) LIKE '%.example.org' THEN 'host_not_allowed' WHEN NOT contains(url, '://') THEN 'not_absolute' ELSE 'other' END AS reason FROM pages WHERE lower(split_part(split_part(url, '://', 2), '/', 1)) LIKE '%.example.org'")
+@query("""WITH u AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN lower(coalesce(scheme, '')) NOT IN ('http', 'https') OR coalesce(host, '') = '' THEN 'not_absolute' WHEN host <> 'hooks.example.com' THEN 'host_not_allowed' END AS reason FROM u""")
 def webhook_events(spark, sf_dir):
-    # the SQL has only the hosts below example.org; the query judges every page
     return table(spark, sf_dir, "pages").select("page_id", outcome.webhook_reason(F.col("url"), ["hooks.example.com"]).alias("reason"))
 
 
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def replay_antijoin(spark, sf_dir):
     receipts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "R", "success").otherwise("failed").alias("status"))

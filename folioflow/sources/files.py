@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.preflight import PLACEHOLDER
+
 MANIFEST = "sample_id string, dataset string, split string, image_path string, ground_truth struct<expected_route:string,route:string,expected_ocr_text:string,expected_validation_verdict:string,expected_fields:map<string,string>,fields:map<string,string>>"
 
 
@@ -52,14 +57,45 @@ def receipts_first(primary: DataFrame, secondary: DataFrame, key: str) -> DataFr
     return primary.unionByName(rest)
 
 
-# Placeholders that a production setting must not hold.
-PLACEHOLDER = r"(?i)change[-_ ]?me|replace[-_ ]?me|example|placeholder|^password$|^secret$"
+def scratch(spark: SparkSession) -> str:
+    """The folder for files of our own: the one that the cluster shares, or a local one where Spark runs on one machine."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        place = "file://" + tempfile.mkdtemp(prefix="folioflow-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/") + "/folioflow"
+
+
+def put_json(docs: DataFrame, path: str) -> None:
+    """Write JSON documents (key, body) as rows of one data set, partitioned by nothing: a key written twice in one write is an error of the caller."""
+    docs.select("key", "body").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def get_json(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """Documents of ``put_json``, parsed: key and value; of one key if it is given."""
+    t = spark.read.parquet(path)
+    t = t.filter(F.col("key") == key) if key is not None else t
+    return t.select("key", F.from_json("body", schema).alias("value"))
+
+
+def checksums(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Files whose content is not what was recorded. found: path, sha256; expected: path, sha256."""
+    t = expected.alias("e").join(found.alias("f"), F.col("e.path") == F.col("f.path"), "left")
+    reason = F.when(F.col("f.path").isNull(), "missing").when(F.col("e.sha256") != F.col("f.sha256"), "changed")
+    return t.select(F.col("e.path").alias("path"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def masked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The rows with the named columns hidden."""
+    return df.withColumns({n: F.lit("***") for n in names})
 
 
 def preflight(settings: DataFrame, required: list[str], secrets: list[str]) -> DataFrame:
-    """Failures of key/value settings: missing, or a secret that is short or a placeholder."""
+    """Failures of key/value settings: missing, or a secret that is short or a placeholder. ``operators.preflight`` has the whole list of rules."""
     spark = settings.sparkSession
     want = spark.createDataFrame([(k, k in secrets) for k in dict.fromkeys([*required, *secrets])], "key string, secret boolean")
     t = want.join(settings.select("key", "value"), "key", "left")
-    reason = F.when(F.coalesce(F.trim("value"), F.lit("")) == "", "missing").when(F.col("secret") & F.col("value").rlike(PLACEHOLDER), "placeholder").when(F.col("secret") & (F.length("value") < 16), "too_short")
+    reason = F.when(F.coalesce(F.trim("value"), F.lit("")) == "", "missing").when(F.col("secret") & F.col("value").rlike(PLACEHOLDER), "placeholder").when(F.col("secret") & (F.length("value") < 24), "too_short")
     return t.select("key", reason.alias("reason")).filter(F.col("reason").isNotNull())
