@@ -57,7 +57,7 @@ def sample_metrics(df: DataFrame) -> DataFrame:
     fields = F.when(C.kind(C.part(got["extraction"], "fields")) == "object", F.try_variant_get(got["extraction"], "$.fields", "map<string,string>"))
     t = df.withColumn("_c", Q.compare_fields(F.col("expected_fields"), F.coalesce(fields, F.create_map().cast("map<string,string>")))).withColumnRenamed("_c", "c")
     t = Q.scores(t)
-    text = F.coalesce(C.text(got["ocr"], "full_text"), F.lit(""))
+    t = X.error_rates(t.withColumn("_read", F.coalesce(C.text(got["ocr"], "full_text"), F.lit(""))), "expected_text", "_read")
     verdict = F.coalesce(F.nullif(C.text(got["validation"], "verdict"), F.lit("")), F.lit("unknown"))
     review = truthy(C.part(got["validation"], "requires_human_review"))
     expected = X.strip(F.coalesce("expected_verdict", F.lit("")))
@@ -65,7 +65,7 @@ def sample_metrics(df: DataFrame) -> DataFrame:
     return t.select(
         *df.columns, "c", "field_precision", "field_recall", "field_f1", F.coalesce(F.nullif(C.text(r, "status"), F.lit("")), F.col("runtime_status")).alias("final_status"),
         route.alias("predicted_route"), (route == F.col("expected_route")).alias("route_match"), F.coalesce(C.number(got["ocr"], "mean_confidence"), F.lit(0.0)).alias("ocr_confidence"),
-        F.coalesce(C.number(got["extraction"], "confidence"), F.lit(0.0)).alias("extraction_confidence"), X.cer(F.col("expected_text"), text).alias("ocr_cer"), X.wer(F.col("expected_text"), text).alias("ocr_wer"),
+        F.coalesce(C.number(got["extraction"], "confidence"), F.lit(0.0)).alias("extraction_confidence"), F.col("cer").alias("ocr_cer"), F.col("wer").alias("ocr_wer"),
         review.alias("requires_review"), F.when(expected != "", "explicit_verdict").otherwise("field_correctness").alias("expectation"), right.alias("validation_correct"), (F.size("errors") == 0).alias("contract_passed"),
     )
 

@@ -21,9 +21,24 @@ def core(pattern: str) -> str:
     return max(re.findall(r"[a-z]+", bare), key=len)
 
 
-def signals_of(text: Column) -> Column:
-    """One bit for each pattern of ``PATTERNS`` that the text matches. A pattern is tried only where its core occurs."""
-    bits = (F.when(F.contains(text, F.lit(core(p))) & text.rlike(p), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(PATTERNS))
+def words_of(text: Column) -> Column:
+    """The words of folded text with one space around each."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+
+
+def signals_of(text: Column, words: Column) -> Column:
+    """One bit for each pattern of ``PATTERNS`` that the text matches. words: as ``words_of`` gives them.
+
+    A pattern that is one whole word is looked up among the words; any other is
+    tried as an expression where its core occurs.
+    """
+
+    def matched(pattern: str) -> Column:
+        if re.fullmatch(r"\\b[a-z]+\\b", pattern):
+            return F.contains(words, F.lit(f" {core(pattern)} "))
+        return F.contains(text, F.lit(core(pattern))) & text.rlike(pattern)
+
+    bits = (F.when(matched(p), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(PATTERNS))
     return reduce(lambda a, b: a + b, bits)
 
 
@@ -44,7 +59,8 @@ def candidates(signals: Column, ocr_confidence: Column) -> Column:
 def scores(df: DataFrame) -> DataFrame:
     """One row per document and route. df: job_id, text, ocr_confidence."""
     folded = df.select("job_id", fold(F.col("text")).alias("_t"), "ocr_confidence")
-    marked = folded.select("job_id", signals_of(F.col("_t")).alias("_s"), "ocr_confidence")
+    worded = folded.withColumn("_w", words_of(F.col("_t")))
+    marked = worded.select("job_id", signals_of(F.col("_t"), F.col("_w")).alias("_s"), "ocr_confidence")
     c = marked.select("job_id", F.explode(candidates(F.col("_s"), F.col("ocr_confidence"))).alias("c"))
     return c.select("job_id", "c.route", "c.confidence", "c.signals", "c.threshold")
 
@@ -60,7 +76,8 @@ def classify(df: DataFrame) -> DataFrame:
     s = S.SETTINGS
     t = df.withColumn("_t", F.coalesce(fold(F.col("text")), F.lit("")))
     guarded = (F.length("_t") < s.min_text_chars) | F.coalesce("fallback_used", F.lit(False))
-    t = t.withColumn("_s", F.when(~guarded, signals_of(F.col("_t"))))
+    t = t.withColumn("_w", words_of(F.col("_t")))
+    t = t.withColumn("_s", F.when(~guarded, signals_of(F.col("_t"), F.col("_w"))))
     t = t.withColumn("_best", F.when(F.col("_s").isNotNull(), F.array_max(candidates(F.col("_s"), F.col("ocr_confidence")))))
     good = F.col("_best").isNotNull() & (F.col("_best.confidence") >= F.col("_best.threshold"))
     confidence = F.when(F.col("fallback_used"), 0.35).when(F.col("_best").isNull(), 0.45).when(good, F.col("_best.confidence")).otherwise(0.50)

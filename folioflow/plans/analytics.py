@@ -11,7 +11,7 @@ from folioflow.operators.extract import extract
 from folioflow.plans import oracle as O
 from folioflow.plans.documents import validated
 from folioflow.plans.intake import JOBS
-from folioflow.sources.tables import CORPUS, corpus, plain_sql, run_sql, table
+from folioflow.sources.tables import CORPUS, corpus, plain_sql, run_sql, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,9 +31,13 @@ def query(sql: str | None = None):
 PREDICTED = f"SELECT job_id, expected_route, text, CASE job_id % 5 WHEN 0 THEN replace(text, 'a', 'o') WHEN 1 THEN replace(text, 'Date', 'Dute now') WHEN 2 THEN substr(text, 1, 40) ELSE text END AS predicted FROM ({CORPUS})"
 
 
+def predicted(spark, sf_dir):
+    return run_sql(spark, sf_dir, PREDICTED, orders=spread(table(spark, sf_dir, "orders")))
+
+
 @query(f"SELECT job_id, round(levenshtein(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(predicted, '\\s+', ' ', 'g')))) / cast(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as double), 6) AS cer FROM ({plain_sql(PREDICTED)})")
 def ocr_cer(spark, sf_dir):
-    return run_sql(spark, sf_dir, PREDICTED).select("job_id", X.cer(F.col("text"), F.col("predicted")).alias("cer"))
+    return X.error_rates(predicted(spark, sf_dir), "text", "predicted", words=False).select("job_id", "cer")
 
 
 #: The edit distance of two word lists, a word of the first a step: what a step costs without insertions, then the cheapest run of insertions up to each place.
@@ -45,7 +49,7 @@ SELECT job_id, round(r[len(w) + 1] / cast(len(e) AS double), 6) AS wer FROM d WH
 
 @query(WER)
 def ocr_wer(spark, sf_dir):
-    return run_sql(spark, sf_dir, PREDICTED).select("job_id", X.wer(F.col("text"), F.col("predicted")).alias("wer"))
+    return X.error_rates(predicted(spark, sf_dir), "text", "predicted").select("job_id", "wer")
 
 
 def _fields(spark, sf_dir):

@@ -48,11 +48,27 @@ SELECT o_orderkey AS job_id, o_orderkey % 6 AS kind,
     WHEN 4 THEN 'Bank Statement' || {NL} || 'Account Number 12' || {KEY} || '89' || {NL} || 'Statement Period: 01/01/2026 - 01/31/2026' || {NL} || 'Opening Balance: $100.00' || {NL} || 'Closing Balance: $' || {CASH} || {NL} || 'Transaction list' || {NL} || '2026-01-02 Coffee shop $4.50' || {NL} || '2026-01-03 Book shop $' || cast(o_orderkey % 90 as string) || '.25'
     ELSE CASE WHEN o_orderkey % 12 = 5 THEN 'memo' ELSE 'Note from Anna to Bert, amount 12 of ' || {DAY} || '.  Nothing   else happened.' END
   END AS text,
-  cast(70 + o_orderkey % 30 as double) / 100 AS ocr_confidence,
+  cast(CASE WHEN o_orderkey % 23 = 7 THEN 40 WHEN o_orderkey % 29 = 3 THEN 5 ELSE 70 + o_orderkey % 30 END as double) / 100 AS ocr_confidence,
   o_orderkey % 50 = 49 AS fallback_used,
   o_custkey AS customer, o_orderstatus AS order_status, cast(o_totalprice as decimal(18,2)) AS total
 FROM {{orders}}"""
 
 
+def spread(df: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
+    """Rows dealt over all cores, where their files are too few and too small for that.
+
+    A small file is one task however many cores there are, and the document flow
+    is all computation. Files of some size keep their own splits: nothing is
+    shuffled then.
+    """
+    context = df.sparkSession.sparkContext
+    cores, paths = context.defaultParallelism, df.inputFiles()
+    if not paths or len(paths) >= cores:
+        return df
+    path = context._jvm.org.apache.hadoop.fs.Path
+    total = sum(path(p).getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path(p)).getLen() for p in paths)
+    return df.repartition(cores) if total < cores * least_bytes else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, CORPUS)
+    return run_sql(spark, sf_dir, CORPUS, orders=spread(table(spark, sf_dir, "orders")))
