@@ -157,6 +157,10 @@ def copies(rate: Column, key: Column, seed: int = 0) -> Column:
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says. The texts are written once beside their posteriors and not shuffled."""
+    return storage.plainly(docs, lambda plain: _drawn(plain, labelled, targets, options))
+
+
+def _drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], options: dict) -> DataFrame:
     names = own_names(docs.columns, len(targets))
     n, copy = storage.unused([*docs.columns, *names], "_n", "_copy")
     table = storage.settle(posteriors(docs, labelled, list(targets), with_columns=True, **options), "mixing")

@@ -137,7 +137,10 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, tokenizer: str | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns, in one pass without a join."""
     path = tokenizer or T.default_path()
-    model = fit(docs, labels, tokenizer=path)
+    return storage.plainly(docs, lambda plain: _kept(plain, fit(docs, labels, tokenizer=path), least_tail, path))
+
+
+def _kept(docs: DataFrame, model: OrdinalModel, least_tail: float, path: str) -> DataFrame:
     storage.on_workers(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -13,7 +13,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,3 +101,12 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
 def quoted(name: str) -> str:
     """A column's name as Spark reads it, dots and back-ticks and all."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def plainly(df: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run(df)``, which keeps the columns of ``df``, with plain names in place of those that hold dots or back-ticks: Spark's Arrow functions do not find such columns."""
+    names = df.columns
+    plain: list[str] = []
+    for c in names:
+        plain += unused([*names, *plain], "column") if "." in c or "`" in c else [c]
+    return run(df) if plain == names else run(df.toDF(*plain)).toDF(*names)

@@ -623,6 +623,10 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``df`` with repeated bytes cut out of the text; halves of cut characters go too, and ``length_col`` is set anew."""
+    return storage.plainly(df, lambda plain: _removed(plain, id_col, text_col, length_col))
+
+
+def _removed(df: DataFrame, id_col: str, text_col: str, length_col: str | None) -> DataFrame:
     columns = df.columns
     n, h, gone = storage.unused(columns, "_n", "_h", "_spans")
     spans = repeats(df, id_col, text_col).select(F.col("doc_id").alias(n), F.col("h").alias(h), F.col("spans").alias(gone))
