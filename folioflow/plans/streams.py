@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioflow.plans.intake import J
 from folioflow.plans.intake import ORACLE_SQL as INTAKE_SQL
+from folioflow.sources.files import scratch
 from folioflow.streaming import streams as ST
 
 QUERIES: dict = {}
@@ -31,13 +34,13 @@ def jobs(spark, sf_dir):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling_requests(spark, sf_dir):
-    t = ST.drain(ST.tumbling(ST.source(spark, sf_dir, "events"), ["event_type"]), "complete")
+    t = ST.drain(ST.tumbling(ST.source(spark, sf_dir, "events"), ["event_type"]), ["window", "event_type"])
     return t.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type FROM events), w AS (SELECT hour - to_hours(k) AS start, event_type FROM h, (SELECT unnest([0, 1, 2]) AS k)) SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL")
 def stream_sliding_rate(spark, sf_dir):
-    t = ST.drain(ST.sliding(ST.source(spark, sf_dir, "events"), ["event_type"], "3 hours", "1 hour"), "complete")
+    t = ST.drain(ST.sliding(ST.source(spark, sf_dir, "events"), ["event_type"], "3 hours", "1 hour"), ["window", "event_type"])
     return t.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -56,3 +59,13 @@ def stream_dedupe_24h(spark, sf_dir):
 def stream_alert_state(spark, sf_dir):
     s = ST.source(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "ts", F.coalesce(F.col("value") > 60, F.lit(False)).alias("bad"))
     return ST.drain(ST.alerts(s, 1800, "event_type"))
+
+
+@query("SELECT DISTINCT 'evt-' || cast(user_id AS varchar) || '-' || event_type AS event_key FROM events")
+def stream_webhook_receipts(spark, sf_dir):
+    """Terminal events are sent once: a receipt a key, whatever the batches."""
+    base = f"{scratch(spark)}/receipts-{uuid.uuid4().hex}"
+    e = ST.source(spark, sf_dir, "events").select(F.concat(F.lit("evt-"), F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("event_key"))
+    for run in range(2):  # the second run finds all receipts there
+        ST.to_receipts(e, f"{base}/out", "event_key", f"{base}/state-{run}").awaitTermination()
+    return spark.read.parquet(f"{base}/out")

@@ -1,7 +1,7 @@
 """Structured Streaming forms of intake, de-duplication, rates and alerts.
 
 Each builder takes a streaming frame and returns one; ``drain`` runs a stream
-over what its source holds now and gives the result as a batch frame.
+over what its source holds now, into files, and gives the result as a table.
 Late rows: windows wait ten minutes where a watermark is set.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioflow.sources.files import scratch
+
 LATENESS = "10 minutes"
 
 
@@ -25,11 +27,26 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else s
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives for all that its source holds now, as a table.
+
+    Every batch is one folder of files, so a batch that runs twice replaces
+    itself. With ``keys`` the stream updates rows: the last of each key counts.
+    """
+    spark = stream.sparkSession
+    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    out = stream.writeStream.outputMode("append" if keys is None else "update").foreachBatch(write)
+    out.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    if keys is None:
+        return got.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return got.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rest)).select(*stream.columns)
 
 
 def tumbling(events: DataFrame, keys: list[str], width: str = "1 hour") -> DataFrame:
