@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import flatgraph, mixing, ordinal, packing, planes, prefix_counts, rules, simhash, storage, suffix, urlfilter
+from folioflow.llm import flatgraph, mixing, ordinal, packing, planes, prefix_counts, prefixtrie, rules, simhash, storage, suffix, urlfilter, vectorcodes
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = [
@@ -62,7 +62,15 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(docs, mixing.labelled_by_lang(docs, ordinal.load_labels(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op5_suffix_array_dedup, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(storage.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.tree(storage.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op5_suffix_array_dedup, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing, op11_vector_codes, op13_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {
     "op7_rule_cascade": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
