@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import flatgraph, mixing, ordinal, packing, planes, prefix_counts, prefixtrie, rules, simhash, storage, suffix, urlfilter, vectorcodes
+from folioflow.llm import flatgraph, licenses, mixing, ordinal, packing, planes, prefix_counts, prefixtrie, rules, simhash, storage, suffix, urlfilter, vectorcodes
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = [
@@ -66,12 +66,57 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(storage.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.tree(storage.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op5_suffix_array_dedup, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing, op11_vector_codes, op13_prefix_trie)}
+def codes_sql(rounds: int = 2) -> str:
+    """All distances of all parts to all entries, round after round."""
+    near = "SELECT vec_id, label, p.part, x, arg_min(entry, dist * 64 + entry) AS entry, min(dist) AS dist FROM (SELECT p.*, c.entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM p JOIN c{k} c ON p.part = c.part) p GROUP BY ALL"
+    moves = """
+a{k} AS (NEAR), m{k} AS (SELECT part, entry, list(f ORDER BY pos) AS c FROM (SELECT part, entry, pos, (t - ((t % n) + n) % n) // n AS f FROM (SELECT part, entry, pos, sum(v)::BIGINT AS t, count(*) AS n FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a{k}) GROUP BY ALL)) GROUP BY ALL),
+c{j} AS (SELECT part, entry, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (part, entry)),"""
+    steps = "".join(moves.replace("NEAR", near).replace("{k}", str(k)).replace("{j}", str(k + 1)) for k in range(rounds))
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // 16 AS w FROM k),
+p AS (SELECT vec_id, label, g AS part, v[g * w + 1 : (g + 1) * w] AS x FROM k, w, (SELECT unnest(range(16)) AS g)),
+c0 AS (SELECT part, entry, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 64),{steps}
+e AS ({near.replace("{k}", str(rounds))}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM e GROUP BY vec_id, label),
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, b"""
+
+
+#: Every prefix of every conversation, grouped; CRC-32 from a table that its rule makes.
+TREE_SQL = r"""
+WITH RECURSIVE crc(i, v, b) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, xor(v >> 1, 3988292384 * (v & 1)), b + 1 FROM crc WHERE b < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE b = 8),
+ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 4 AS h FROM ids, tab),
+q AS (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS words FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS p FROM q),
+b AS (SELECT h.conv_id, 0 AS src, p, digest, words FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND p <= h UNION ALL SELECT h.conv_id, 1, p, digest, words FROM h JOIN o ON o.conv_id = h.conv_id AND p > h),
+s AS (SELECT conv_id, list(digest ORDER BY src, p) AS ds, list(words ORDER BY src, p) AS ws FROM b GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(ds, []) AS ds, coalesce(ws, []) AS ws FROM ids LEFT JOIN s USING (conv_id)),
+e AS (SELECT *, unnest(range(len(ds) + 1)) AS d FROM c),
+x AS (SELECT conv_id, d, d || ':' || array_to_string(ds[1:d], '') AS name, CASE WHEN d > 0 THEN (d - 1) || ':' || array_to_string(ds[1:d - 1], '') END AS up, coalesce(ws[d], 0) AS words, len(ds) = d AS over FROM e),
+n AS (SELECT name, d, any_value(up) AS up, min(conv_id) AS least, count(*) AS n, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (over), '') AS ends FROM x GROUP BY name, d),
+k AS (SELECT up AS name, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT x.name, count(*) FILTER (k.name IS NULL) AS n_leaves, sum((n.n - 1) * n.words)::BIGINT AS saved_tokens FROM n JOIN x ON x.conv_id = n.least AND x.d <= n.d LEFT JOIN k ON k.name = n.name GROUP BY x.name)
+SELECT n.least AS conv_id, n.d AS depth, above.least AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN below USING (name) LEFT JOIN k USING (name) LEFT JOIN n above ON above.name = n.up"""
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_simhash_neardup, op3_prefix_token_counts, op4_bitplane_tokens, op5_suffix_array_dedup, op6_sum_of_squares_packing, op7_rule_cascade, op8_flat_graph_neardup, op9_url_range_join, op10_soft_mixing, op11_vector_codes, op12_license_scan, op13_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": codes_sql(),
+    "op12_license_scan": licenses.scan_sql(),
+    "op13_prefix_trie": TREE_SQL,
     "op7_rule_cascade": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
