@@ -175,7 +175,8 @@ def per_block(rows: DataFrame, whole: DataFrame, run, schema: str) -> DataFrame:
 
 def shards(distinct: DataFrame, most: int, overlap: int, exact: bool, levels: int = 16) -> DataFrame:
     """(node, m, v, shard, blocks, seat): every vector in each of its shards; ``blocks`` is 0, or the number of blocks of a crowd, whose names are shard#0, shard#1 and so on."""
-    now = distinct.select("node", "m", "v", F.concat_ws("/", "label", F.size("v").cast("string")).alias("shard"), F.lit(2**62).alias("whole"), F.lit(True).alias("seat"))
+    # the label in hexadecimal, so that / and # in names are always ours
+    now = distinct.select("node", "m", "v", F.concat_ws("/", F.hex("label"), F.size("v").cast("string")).alias("shard"), F.lit(2**62).alias("whole"), F.lit(True).alias("seat"))
     done: list[DataFrame] = []
     for level in range(levels + 1):
         sizes = now.groupBy("shard").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).filter(F.col("n") > most)

@@ -149,23 +149,30 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     return table.select("doc_id", F.col(tokens).alias("tokens"), *(F.col(c).alias(f"p_{d}") for c, d in zip(p, domains, strict=True)), rate_column(steps, p).alias("rate"))
 
 
-def copies(rate: Column, key: Column, seed: int = 0) -> Column:
+def copies(rate: Column, *keys: Column, seed: int = 0) -> Column:
     """A whole number of copies whose mean over keys is the rate."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
+    unit = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
     return (F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says. The texts are written once beside their posteriors and not shuffled."""
+    """The rows of ``docs``, each as often as its rate says, by a draw of its id and text; rows that repeat both, with or without an id, have draws of their own. The texts are written once beside their posteriors and not shuffled, unless rows repeat."""
     return storage.plainly(docs, lambda plain: _drawn(plain, labelled, targets, options))
 
 
 def _drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], options: dict) -> DataFrame:
     names = own_names(docs.columns, len(targets))
-    n, copy = storage.unused([*docs.columns, *names], "_n", "_copy")
-    table = storage.settle(posteriors(docs, labelled, list(targets), with_columns=True, **options), "mixing")
+    n, copy, row, of, text = storage.unused([*docs.columns, *names], "_n", "_copy", "_row", "_of", "_text")
+    marked = posteriors(docs, labelled, list(targets), with_columns=True, **options).withColumn(row, F.monotonically_increasing_id())
+    table = storage.settle(marked, "mixing")
     steps, _, _ = fit_rates(table, names, list(targets.values()))
-    drawn = table.withColumn(n, copies(rate_column(steps, names[1:]), F.col("doc_id"))).filter(F.col(n) > 0)
+    h = F.xxhash64("text")
+    again = storage.settle(table.groupBy(F.col("doc_id").alias(of), h.alias(text)).agg(F.count("*").alias(n)).filter(F.col(n) > 1).select(of, text), "mixing-repeats")
+    own = F.lit(0).cast("long")
+    if not again.isEmpty():
+        table = table.join(again, F.col("doc_id").eqNullSafe(F.col(of)) & (h == F.col(text)), "left")
+        own = F.when(F.col(text).isNotNull(), F.col(row)).otherwise(own)
+    drawn = table.withColumn(n, copies(rate_column(steps, names[1:]), F.col("doc_id"), h, own)).filter(F.col(n) > 0)
     return drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*map(storage.quoted, docs.columns))
 
 
