@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow import schemas as S
 from folioflow.functions import text as X
+from folioflow.sources.files import keep
 
 EXTENSIONS = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff"}
 MIMES = tuple(dict.fromkeys(EXTENSIONS.values()))
@@ -55,24 +56,70 @@ def idempotent(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("accepted_job", F.when(keyed, F.first("job_id").over(w)).otherwise(F.col("job_id"))).withColumn("is_replay", F.col("accepted_job") != F.col("job_id"))
 
 
-def dedupe_anchored(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours) -> DataFrame:
-    """One row per job with duplicate_of: the latest accepted job of the same tenant and content within the window, unless that one failed.
+def dedupe_anchored(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours, anchors: DataFrame | None = None, slot: int = 3600) -> DataFrame:
+    """One row per job (tenant_id, sha256, job_id, duplicate_of): the latest accepted job of the same tenant and content within the window, unless that one failed.
 
-    A duplicate makes no row of its own, so the window hangs on the last
-    accepted job; this needs a fold over each content's times, one group's
-    (time, id, failed) triples at a time.
+    A duplicate makes no row of its own, so the window hangs on the last accepted
+    job. Which row would be accepted next after an accepted one depends on that
+    row alone: the first beyond its window, or the very next one if it failed. So
+    every row gets a pointer, and what is reached from a content's first row, by
+    pointers that double their reach every round, is accepted. Rows of one
+    content meet in slots of ``slot`` seconds and the slots by one row each, so
+    no task holds a content.
+
+    Jobs of equal times are ordered by their ids; jobs without a time are
+    accepted and no one's original. anchors (tenant_id, sha256, job_id, at,
+    failed): the last accepted job of contents that were seen before; jobs that
+    are older than their anchor count as of its time.
     """
     span = hours * 3600
-    items = F.array_sort(F.collect_list(F.struct(F.col("created_at").cast("timestamp").cast("long").alias("at"), "job_id", (F.col("status") == "FAILED").alias("failed"))))
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("job_id"), F.lit(False).alias("failed"), F.array().cast("array<struct<job_id:bigint,duplicate_of:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        dup = F.coalesce((acc["at"] >= x["at"] - span) & ~acc["failed"], F.lit(False))
-        row = F.array(F.struct(x["job_id"].alias("job_id"), F.when(dup, acc["job_id"]).alias("duplicate_of")))
-        return F.struct(F.when(dup, acc["at"]).otherwise(x["at"]).alias("at"), F.when(dup, acc["job_id"]).otherwise(x["job_id"]).alias("job_id"), F.when(dup, acc["failed"]).otherwise(x["failed"]).alias("failed"), F.concat(acc["out"], row).alias("out"))
-
-    folded = jobs.groupBy("tenant_id", "sha256").agg(items.alias("items")).select("tenant_id", "sha256", F.aggregate("items", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("tenant_id", "sha256", F.explode_outer("out").alias("o")).select("tenant_id", "sha256", "o.job_id", "o.duplicate_of")
+    content = F.struct("tenant_id", "sha256")
+    rows = jobs.select(content.alias("g"), F.col("created_at").cast("timestamp").cast("long").alias("at"), "job_id", F.coalesce(F.col("status") == "FAILED", F.lit(False)).alias("failed"), F.lit(False).alias("old"))
+    if anchors is not None:
+        before = anchors.select(content.alias("g"), "at", "job_id", "failed", F.lit(True).alias("old"))
+        since = before.select(F.col("g").alias("_g"), F.col("at").alias("_since"))
+        rows = rows.join(since, rows["g"] == since["_g"], "left").withColumn("at", F.when(F.col("at").isNotNull(), F.greatest("at", "_since"))).drop("_g", "_since").unionByName(before)
+    rows = keep(rows.withColumn("id", F.monotonically_increasing_id()), "dedupe-rows")
+    own = F.struct("at", ~F.col("old"), "job_id", "id")
+    timed = rows.filter("at IS NOT NULL").select("g", "id", "job_id", "at", "failed", own.alias("own"), F.floor(F.col("at") / slot).alias("s"))
+
+    # a row asks at the end of its window, a failed one at itself: which row comes next there?
+    ask = timed.filter("NOT failed").select("g", "id", (F.col("at") + span).alias("at"), F.floor((F.col("at") + span) / slot).alias("s"))
+    met = timed.select("g", "s", "at", "id", "own", "failed").unionByName(ask.select("g", "s", "at", "id", F.lit(None).cast(timed.schema["own"].dataType).alias("own"), F.lit(True).alias("failed")))
+    latest_first = Window.partitionBy("g", "s").orderBy(F.desc("at"), F.col("own").isNull().desc(), F.desc("own"))
+    met = met.withColumn("next", F.last("own", True).over(latest_first.rowsBetween(Window.unboundedPreceding, -1)))
+    slots = met.groupBy("g", "s").agg(F.min("own").alias("head"))
+    slots = slots.withColumn("later", F.last("head", True).over(Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)))
+    pointers = met.filter("failed").join(slots.select("g", "s", "later"), ["g", "s"]).select("id", F.coalesce("next", "later")["id"].alias("to")).filter("to IS NOT NULL")
+
+    jump = keep(pointers, "dedupe-pointers")
+    reached = keep(timed.groupBy("g").agg(F.min("own")["id"].alias("id")).select("id"), "dedupe-reached")
+    while True:
+        new = keep(reached.join(jump, "id").select(F.col("to").alias("id")), "dedupe-reached")
+        if new.isEmpty():
+            break
+        reached = reached.union(new)
+        jump = keep(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")), "dedupe-pointers")
+
+    accepted = timed.join(reached.withColumn("ok", F.lit(True)), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    accepted = accepted.withColumn("last", F.last(F.when(F.col("ok"), F.struct("job_id")), True).over(Window.partitionBy("g", "s").orderBy("own")))
+    ends = accepted.groupBy("g", "s").agg(F.max_by("last", "own").alias("end"))
+    ends = ends.withColumn("earlier", F.last("end", True).over(Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)))
+    found = accepted.join(ends.select("g", "s", "earlier"), ["g", "s"]).select("g", "id", "job_id", F.when(~F.col("ok"), F.coalesce("last", "earlier")["job_id"]).alias("duplicate_of"))
+    if anchors is not None:
+        found = found.join(rows.filter("old").select("id"), "id", "left_anti")
+    untimed = rows.filter("at IS NULL").select("g", "job_id", F.lit(None).cast(rows.schema["job_id"].dataType).alias("duplicate_of"))
+    return found.drop("id").unionByName(untimed).select("g.tenant_id", "g.sha256", "job_id", "duplicate_of")
+
+
+def anchors_of(jobs: DataFrame, found: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The last accepted job of each content: of ``jobs`` as ``dedupe_anchored`` judged them, else of before. ``job_id`` names a row of ``jobs``."""
+    kept = jobs.join(found.filter("duplicate_of IS NULL").select("job_id"), "job_id", "left_semi")
+    at = F.col("created_at").cast("timestamp").cast("long")
+    rows = kept.filter("created_at IS NOT NULL").select("tenant_id", "sha256", "job_id", at.alias("at"), F.coalesce(F.col("status") == "FAILED", F.lit(False)).alias("failed"))
+    rows = rows if before is None else rows.unionByName(before)
+    last = rows.groupBy("tenant_id", "sha256").agg(F.max(F.struct("at", "job_id", "failed")).alias("r"))
+    return last.select("tenant_id", "sha256", "r.job_id", "r.at", "r.failed")
 
 
 def recent_by_hash(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow import schemas as S
 from folioflow.functions import text as X
+from folioflow.operators.rank import percentiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -38,13 +39,16 @@ def aggregate(metrics: DataFrame, elapsed: float) -> DataFrame:
     zero = lambda c: F.round(F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0)), 6)
     share = lambda c: F.round(F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0)), 6)
     done = F.col("runtime_status") == "COMPLETED"
-    return metrics.agg(
+    latency = percentiles(metrics, "latency", {"_p50": 0.5, "_p95": 0.95}, [])
+    rates = metrics.agg(
         F.count("*").cast("double").alias("sample_count"), share(done).alias("completion_rate"), share(F.col("contract_passed")).alias("pipeline_contract_pass_rate"), share(F.col("route_match")).alias("route_accuracy"),
         zero("field_f1").alias("field_f1_mean"), zero("extraction_confidence").alias("extraction_confidence_mean"), F.round(F.avg("ocr_cer"), 6).alias("ocr_cer_mean"), F.round(F.avg("ocr_wer"), 6).alias("ocr_wer_mean"),
         F.round(F.avg(F.col("validation_correct").cast("double")), 6).alias("validation_accuracy"), share(F.col("requires_review")).alias("human_review_rate"),
-        F.round(F.percentile("latency", F.lit(0.5)), 6).alias("latency_p50_seconds"), F.round(F.percentile("latency", F.lit(0.95)), 6).alias("latency_p95_seconds"),
         F.round(F.count_if(done) * 60 / elapsed, 6).alias("throughput_documents_per_minute") if elapsed else F.lit(None).cast("double").alias("throughput_documents_per_minute"),
     )
+    both = rates.withColumn("_one", F.lit(0)).join(latency.withColumn("_one", F.lit(0)), "_one")
+    latencies = [F.round("_p50", 6).alias("latency_p50_seconds"), F.round("_p95", 6).alias("latency_p95_seconds")]
+    return both.select(*rates.columns[:-1], *latencies, rates.columns[-1])
 
 
 def gate(aggregates: DataFrame, gates=S.GATES) -> DataFrame:

@@ -8,6 +8,7 @@ from folioflow import schemas as S
 from folioflow.functions import text as X
 from folioflow.operators import ops, outcome, quality, retention
 from folioflow.operators.extract import extract
+from folioflow.operators.rank import percentiles
 from folioflow.plans import oracle as O
 from folioflow.plans.documents import validated
 from folioflow.plans.intake import JOBS
@@ -92,7 +93,8 @@ def aggregate_metrics(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", F.lit(p)), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)))
+    t = percentiles(table(spark, sf_dir, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"])
+    return t.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
 
 
 GATE = f"WITH a AS ({AGG}), g AS (" + " UNION ALL ".join(f"SELECT {k} AS turn, '{m}' AS metric, '{op}' AS operator, cast({t} as double) AS threshold, {m} AS actual, coalesce({m} {op} {t}, false) AS passed FROM a" for k, (m, op, t) in enumerate(S.GATES)) + ")"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,13 @@ def scratch(spark: SparkSession) -> str:
     return place.rstrip("/") + "/folioflow"
 
 
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` in the scratch folder and read it back: later plans start from the files, whatever executors are lost."""
+    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_json(docs: DataFrame, path: str) -> None:
     """Write JSON documents (key, body) as rows of one data set, partitioned by nothing: a key written twice in one write is an error of the caller."""
     docs.select("key", "body").write.mode("overwrite").option("compression", "zstd").parquet(path)
