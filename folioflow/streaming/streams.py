@@ -14,10 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from folioflow.sources.files import scratch
+from folioflow.operators import ingest as I
+from folioflow.sources.files import keep, scratch
 
 LATENESS = "10 minutes"
+#: State on the workers' disks and in the checkpoint, not in their memory.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
@@ -27,22 +31,41 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else s
 
 
-def drain(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """What a stream gives for all that its source holds now, as a table.
+def advance(stream: DataFrame, base: str, mode: str = "append") -> None:
+    """Run a stream over what its source holds and has not given yet. Called again with the same ``base`` it goes on where it ended.
 
-    Every batch is one folder of files, so a batch that runs twice replaces
-    itself. With ``keys`` the stream updates rows: the last of each key counts.
+    Every batch is one folder of files below ``base``, so a batch that runs
+    twice replaces itself; the state is in its checkpoint there.
     """
     spark = stream.sparkSession
-    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    out = stream.writeStream.outputMode("append" if keys is None else "update").foreachBatch(write)
-    out.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        out = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(ROCKS[0])
+        else:
+            spark.conf.set(ROCKS[0], before)
+
+
+def given(spark: SparkSession, schema: str | StructType, base: str) -> DataFrame:
+    """The rows of all batches below ``base``, with column batch."""
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else StructType(list(schema.fields))
+    spark.createDataFrame([], wanted).write.mode("overwrite").parquet(f"{base}/out/batch=-1")
+    return spark.read.schema(wanted.add("batch", "long")).parquet(f"{base}/out")
+
+
+def drain(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives for all that its source holds now, as a table. With ``keys`` the stream updates rows: the last of each key counts."""
+    base = f"{scratch(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    advance(stream, base, "append" if keys is None else "update")
+    got = given(stream.sparkSession, stream.schema, base)
     if keys is None:
         return got.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
@@ -62,23 +85,28 @@ def first_by_key(jobs: DataFrame, keys: list[str]) -> DataFrame:
     return jobs.dropDuplicates(keys)
 
 
-def dedupe(jobs: DataFrame, hours: int = 24) -> DataFrame:
-    """As the batch fold: the window hangs on the last accepted job of (tenant_id, sha256); the state is that job."""
-    span = hours * 3600
+def dedupe(jobs: DataFrame, base: str, hours: int = 24) -> None:
+    """As the batch rule, batch after batch: the last accepted job of a content is its anchor for the next batch.
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, job, failed = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(parts)).sort_values(["at", "job_id"])
-        out = []
-        for r in rows.itertuples():
-            dup = at is not None and at >= r.at - span and not failed
-            out.append((r.job_id, job if dup else None))
-            if not dup:
-                at, job, failed = int(r.at), int(r.job_id), bool(r.status == "FAILED")
-        state.update((at, job, failed))
-        yield pd.DataFrame({"job_id": [o[0] for o in out], "duplicate_of": pd.array([o[1] for o in out], dtype="Int64")})
-
-    return jobs.withColumn("at", F.col("created_at").cast("long")).groupBy("tenant_id", "sha256").applyInPandasWithState(step, "job_id long, duplicate_of long", "at long, job long, failed boolean", "append", GroupStateTimeout.NoTimeout)
+    Anchors lie in folders by day and batch, so a batch reads those of its own
+    window only and, when it runs twice, replaces its own.
+    """
+    spark = jobs.sparkSession
+    anchors, names = f"{base}/anchors", ["tenant_id", "sha256", "job_id", "at", "failed"]
+    kinds = StructType([*(jobs.schema[c] for c in names[:3])]).add("at", "long").add("failed", "boolean").add("day", "long").add("batch", "long")
+    spark.createDataFrame([], kinds).drop("day", "batch").write.mode("append").parquet(f"{anchors}/day=-1/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = keep(batch, "dedupe-batch")
+        first = rows.agg(F.min(F.unix_seconds(F.col("created_at").cast("timestamp")))).first()[0]
+        recent = spark.read.schema(kinds).parquet(anchors).filter((F.col("batch") < number) & (F.col("day") >= ((first or 0) - hours * 3600) // 86400))
+        last = recent.groupBy("tenant_id", "sha256").agg(F.max(F.struct("at", "job_id", "failed")).alias("r")).select("tenant_id", "sha256", "r.job_id", "r.at", "r.failed")
+        found = keep(I.dedupe_anchored(rows, hours, last), "dedupe-found")
+        found.select("job_id", "duplicate_of").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        new = I.anchors_of(rows, found).withColumn("day", F.floor(F.col("at") / 86400)).withColumn("batch", F.lit(number))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(anchors)
+
+    jobs.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def alerts(samples: DataFrame, hold_seconds: int, key: str) -> DataFrame:
