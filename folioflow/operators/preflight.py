@@ -114,7 +114,9 @@ def failures(settings: Column, now: Column, environment: str = "production") ->
 
 def _age(name: str, value: Column, most: Column, now: Column) -> Column:
     """A rotation time that is unreadable, ahead of now by over a day, or older than the most days allowed."""
-    at = F.try_to_timestamp(value)
+    # a time without a zone is of UTC; a year or a month alone is no time
+    zoned = F.when(value.rlike(r"([Zz]|[+-]\d\d(:?\d\d)?)$") & value.rlike(r"\d[T ]\d"), value).when(value.rlike(r"\d[T ]\d"), F.concat(value, F.lit("Z"))).otherwise(F.concat(value, F.lit("T00:00:00Z")))
+    at = F.when(value.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(zoned))
     age = (now.cast("double") - at.cast("double")) / 86400
     text = F.when(at.isNull(), F.lit(f"{name} must be an ISO-8601 timestamp")).when(age < -1, F.lit(f"{name} cannot be in the future")).when(age > most, F.format_string(f"{name} is older than CREDENTIAL_MAX_AGE_DAYS=%d", most))
     return F.when((value != "") & most.isNotNull(), text)
