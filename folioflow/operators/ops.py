@@ -28,11 +28,13 @@ def histogram_quantile(buckets: DataFrame, q: float, groups: list[str]) -> DataF
     return hit.groupBy(*groups).agg(F.min_by(F.when(F.col("le") == float("inf"), F.col("_low")).otherwise(F.coalesce(inside, F.col("le"))), "le").alias("value"))
 
 
-def firing(samples: DataFrame, hold_seconds: int, labels: list[str]) -> DataFrame:
-    """Samples at which a boolean condition (column bad) has held for ``hold_seconds`` without a break: gaps and islands."""
+def firing(samples: DataFrame, hold_seconds: int, labels: list[str], gap: int | None = None) -> DataFrame:
+    """Samples at which a boolean condition (column bad) has held for ``hold_seconds`` without a break: gaps and islands. With ``gap``, a longer time without a sample is a break too."""
     at = F.col("ts").cast("timestamp").cast("long")
     w = Window.partitionBy(*labels).orderBy("_at")
-    t = samples.withColumn("_at", at).withColumn("_turn", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(w))
+    t = samples.withColumn("_at", at)
+    late = F.lit(False) if gap is None else F.coalesce(F.col("_at") - F.lag("_at").over(w) > gap, F.lit(False))
+    t = t.withColumn("_late", late).withColumn("_turn", F.sum(F.when(F.col("bad") & ~F.col("_late"), 0).otherwise(1)).over(w)).drop("_late")
     since = F.min(F.when(F.col("bad"), F.col("_at"))).over(Window.partitionBy(*labels, "_turn"))
     t = t.withColumn("_since", since)
     state = F.when(~F.col("bad"), "inactive").when(F.col("_at") - F.col("_since") >= hold_seconds, "firing").otherwise("pending")
@@ -46,6 +48,25 @@ def alert_states(samples: DataFrame, hold_seconds: int, labels: list[str]) -> Da
     return t.withColumn("state", F.when((F.col("state") == "inactive") & (before == "firing"), "resolved").otherwise(F.col("state")))
 
 
+def instant(samples: DataFrame, labels: list[str], step: int = 15, lookback: int = 300, slot: int = 3600) -> DataFrame:
+    """Values on a grid of ticks every ``step`` seconds: at each the last sample of its series that is no older than ``lookback``. samples: labels, id, ts, value; gives labels, at (seconds) and value.
+
+    A sample holds from its own tick to the one before the next sample, so what
+    it takes is the time of that next sample; among samples of one second the
+    last id counts. Samples of a series meet in slots of time and the slots by
+    one row each, so a busy series is many tasks' work.
+    """
+    t = samples.filter("ts IS NOT NULL").select(*labels, "id", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    t = t.withColumn("_slot", F.floor(F.col("at") / slot))
+    t = t.withColumn("_next", F.lead("at").over(Window.partitionBy(*labels, "_slot").orderBy("at", "id")))
+    heads = t.groupBy(*labels, "_slot").agg(F.min("at").alias("_head"))
+    heads = heads.withColumn("_later", F.lead("_head").over(Window.partitionBy(*labels).orderBy("_slot"))).drop("_head")
+    met = t.join(heads.toDF(*(f"_{c}" for c in labels), "_of", "_later"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in labels] + [F.col("_slot") == F.col("_of")])
+    until = F.least(F.coalesce("_next", "_later", F.col("at") + lookback + 1) - 1, F.col("at") + lookback)
+    first, last = F.ceil(F.col("at") / step) * step, F.floor(until / step) * step
+    return met.filter(first <= last).select(*labels, F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("at"), "value")
+
+
 def sum_by(samples: DataFrame, labels: list[str], value: str = "value") -> DataFrame:
     """One value for each time and set of labels."""
     return samples.groupBy(*labels, "ts").agg(F.sum(value).alias(value))
@@ -93,7 +114,3 @@ def cumulative_buckets(df: DataFrame, value: str, bounds: list[float], groups: l
     sums = [F.count_if(F.col(value) <= b).cast("double").alias(f"_b{k}") for k, b in enumerate(bounds)] + [F.count(value).cast("double").alias(f"_b{len(bounds)}")]
     rows = F.array(*(F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{k}").alias("cum")) for k, b in enumerate([*bounds, float("inf")])))
     return df.groupBy(*groups).agg(*sums).select(*groups, F.explode_outer(rows).alias("b")).select(*groups, "b.le", "b.cum")
-
-
-def top(df: DataFrame, by: Column, n: int = 15) -> DataFrame:
-    return df.orderBy(by).limit(n)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.plans import analytics, artifacts, benchmarking, contracts, documents, intake, jobs, monitoring, operations, records, streams
+from folioflow.plans import analytics, artifacts, benchmarking, contracts, documents, intake, jobs, monitoring, operations, records, stores, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (documents, intake, analytics, artifacts, contracts, records, monitoring, jobs, benchmarking, operations, streams):
+for _module in (documents, intake, analytics, artifacts, contracts, records, monitoring, jobs, benchmarking, operations, stores, streams):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
