@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
+from folioflow.functions.rounding import rounded
 from folioflow.functions.text import fold
 
 
@@ -49,7 +50,7 @@ def candidates(signals: Column, ocr_confidence: Column) -> Column:
     for k, (route, profile, mode, threshold, patterns) in enumerate(S.ROUTE_RULES):
         hits = [signals.bitwiseAND(F.lit(1 << (first + j))) != 0 for j in range(len(patterns))]
         score = sum((F.when(h, F.lit(w)).otherwise(0.0) for h, (_, w) in zip(hits, patterns, strict=True)), F.lit(0.0))
-        confidence = F.round(F.least(F.lit(0.99), F.lit(0.20) + F.least(score, F.lit(0.85)) + base), 4)
+        confidence = rounded(F.least(F.lit(0.99), F.lit(0.20) + F.least(score, F.lit(0.85)) + base), 4)
         n = F.bit_count(signals.bitwiseAND(F.lit(((1 << len(patterns)) - 1) << first))).cast("int")
         out.append(F.struct(confidence.alias("confidence"), n.alias("signals"), F.lit(-k).alias("turn"), F.lit(route).alias("route"), F.lit(profile).alias("profile"), F.lit(mode).alias("mode"), F.lit(threshold).alias("threshold")))
         first += len(patterns)

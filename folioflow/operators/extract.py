@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import schemas as S
+from folioflow.functions.rounding import rounded
 from folioflow.functions.text import collapse, route_name, strip
 
 FLAGS = "(?im)"
@@ -54,13 +55,13 @@ def filled(fields: Column) -> Column:
 def fields_confidence(ocr: Column, fields: Column, layout_used: Column) -> Column:
     bonus = F.when(layout_used, 0.05).otherwise(0.0)
     share = filled(fields) / F.greatest(F.size(fields), F.lit(1))
-    return F.round(F.least(F.lit(0.99), F.lit(0.60) * ocr + F.lit(0.35) * share + bonus), 4)
+    return rounded(F.least(F.lit(0.99), F.lit(0.60) * ocr + F.lit(0.35) * share + bonus), 4)
 
 
 def field_confidences(ocr: Column, fields: Column, layout_used: Column) -> Column:
     base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ocr))
     bonus = F.when(layout_used, 0.05).otherwise(0.0)
-    one = F.round(F.least(F.lit(0.99), base * 0.75 + 0.20 + bonus), 4)
+    one = rounded(F.least(F.lit(0.99), base * 0.75 + 0.20 + bonus), 4)
     return F.transform_values(fields, lambda k, v: F.when(v != "", one).otherwise(0.0))
 
 
@@ -92,12 +93,12 @@ def extract(df: DataFrame, layout_text: str | None = None, model_fields: str | N
         t = t.withColumn("used_vlm_fallback", ask)
         t = t.withColumn("fields", F.when(ask, merge_model_fields(F.col("fields"), F.col(model_fields))).otherwise(F.col("fields")))
         if model_confidence:
-            raised = F.round(F.greatest("confidence", F.least(F.lit(1.0), F.col(model_confidence))), 4)
+            raised = rounded(F.greatest("confidence", F.least(F.lit(1.0), F.col(model_confidence))), 4)
             t = t.withColumn("confidence", F.when(ask & F.col(model_confidence).isNotNull(), raised).otherwise(F.col("confidence")))
     else:
         t = t.withColumn("used_vlm_fallback", F.lit(False))
     t = t.withColumn("field_confidences", field_confidences(F.col("ocr_confidence"), F.col("fields"), used))
     t = t.withColumn("missing_fields", missing(F.col("fields")))
-    again = F.round(F.least("confidence", fields_confidence(F.col("ocr_confidence"), F.col("fields"), used)), 4)
+    again = rounded(F.least("confidence", fields_confidence(F.col("ocr_confidence"), F.col("fields"), used)), 4)
     t = t.withColumn("confidence", F.when(F.size("missing_fields") > 0, again).otherwise(F.col("confidence")))
     return t.withColumn("layout_text_used", used).drop("_picked", "_route")

@@ -139,7 +139,7 @@ def field_fill_ratio(spark, sf_dir):
     return extracted(spark, sf_dir).select("job_id", "route", filled(F.col("fields")).alias("filled"), "confidence")
 
 
-@query(O.EXTRACTED + ", long AS (" + " UNION ALL ".join(f"SELECT job_id, {O.name_sql(k)} AS field, CASE WHEN f{k} <> '' THEN round(least(cast(0.99 as double), ocr_confidence * cast(0.75 as double) + cast(0.20 as double) + 0.0), 4) ELSE 0.0 END AS confidence FROM extracted" for k in range(5)) + ") SELECT field, count(*) AS n, round(sum(confidence), 4) AS total FROM long GROUP BY field")
+@query(O.EXTRACTED + ", long AS (" + " UNION ALL ".join(f"SELECT job_id, {O.name_sql(k)} AS field, CASE WHEN f{k} <> '' THEN cast(printf('%.4f', least(cast(0.99 as double), ocr_confidence * cast(0.75 as double) + cast(0.20 as double) + 0.0)) as double) ELSE 0.0 END AS confidence FROM extracted" for k in range(5)) + ") SELECT field, count(*) AS n, round(sum(confidence), 4) AS total FROM long GROUP BY field")
 def field_confidences(spark, sf_dir):
     t = unrolled(extracted(spark, sf_dir), "field_confidences", "field", "confidence")
     return t.groupBy("field").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("total"))
@@ -162,8 +162,7 @@ def validate_rules(spark, sf_dir):
 @query(O.VALIDATED + ", long AS (SELECT route, unnest(string_split(reasons, '|')) AS reason FROM verdicts WHERE reasons <> '') SELECT route, reason, count(*) AS n FROM long GROUP BY ALL")
 def validate_reasons(spark, sf_dir):
     t = unrolled(validated(spark, sf_dir), "reasons", "reason", keep=("route",))
-    short = F.when(F.col("reason").startswith("low_confidence:"), "low_confidence").otherwise(F.col("reason"))
-    return t.groupBy("route", short.alias("reason")).agg(F.count("*").alias("n"))
+    return t.groupBy("route", "reason").agg(F.count("*").alias("n"))
 
 
 _RULES = (("required_fields_present", "no_req <> ''", "failed"), ("recommended_fields_present", "no_rec <> ''", "warning"), ("date_format", "bad_date <> ''", "failed"), ("money_format", "bad_money <> ''", "failed"), ("required_field_confidence", "low <> ''", "failed"), ("document_confidence", "confidence < 0.9", "failed"), ("llm_fallback_policy", "false", "failed"))

@@ -37,7 +37,7 @@ def candidates_sql() -> str:
     for k, (route, _, _, threshold, patterns) in enumerate(S.ROUTE_RULES):
         score = " + ".join(["cast(0 as double)"] + [f"CASE WHEN regexp_matches(t, {q(p)}) THEN cast({w} as double) ELSE 0 END" for p, w in patterns])
         signals = " + ".join(f"CASE WHEN regexp_matches(t, {q(p)}) THEN 1 ELSE 0 END" for p, _ in patterns)
-        parts.append(f"SELECT job_id, {q(route)} AS route, {k} AS k, round(least(cast(0.99 as double), cast(0.20 as double) + least({score}, cast(0.85 as double)) + least(ocr_confidence, 1.0) * cast(0.12 as double)), 4) AS confidence, {signals} AS signals, cast({threshold} as double) AS threshold FROM folded")
+        parts.append(f"SELECT job_id, {q(route)} AS route, {k} AS k, cast(printf('%.4f', least(cast(0.99 as double), cast(0.20 as double) + least({score}, cast(0.85 as double)) + least(ocr_confidence, 1.0) * cast(0.12 as double))) as double) AS confidence, {signals} AS signals, cast({threshold} as double) AS threshold FROM folded")
     return " UNION ALL ".join(parts)
 
 
@@ -57,7 +57,7 @@ def slots_sql(route: str) -> list[str]:
 
 #: Every document's five fields f0..f4 in its route's order, and the confidence.
 EXTRACTED = CLASSIFIED + ", slots AS (" + " UNION ALL ".join(f"SELECT *, {', '.join(slots_sql(r))} FROM classified WHERE route = {q(r)}" for r in S.ROUTES) + """),
-extracted AS (SELECT *, round(least(cast(0.99 as double), cast(0.60 as double) * ocr_confidence + cast(0.35 as double) * (((f0 <> '')::int + (f1 <> '')::int + (f2 <> '')::int + (f3 <> '')::int + (f4 <> '')::int) / cast(5 as double))), 4) AS confidence FROM slots)"""
+extracted AS (SELECT *, cast(printf('%.4f', least(cast(0.99 as double), cast(0.60 as double) * ocr_confidence + cast(0.35 as double) * (((f0 <> '')::int + (f1 <> '')::int + (f2 <> '')::int + (f3 <> '')::int + (f4 <> '')::int) / cast(5 as double)))) as double) AS confidence FROM slots)"""
 
 
 def name_sql(k: int) -> str:
@@ -85,5 +85,5 @@ checked AS (SELECT *, {failing(0, "{v} = ''")} AS no_req, {failing(1, "{v} = ''"
   {failing(0, "{v} <> '' AND " + LOW)} AS low, f0 = '' AND f1 = '' AND f2 = '' AND f3 = '' AND f4 = '' AS empty FROM routed),
 judged AS (SELECT *, empty OR (confidence < 0.25 AND no_req <> '') AS reject FROM checked),
 validated AS (SELECT *, concat_ws('|', CASE WHEN no_req <> '' THEN 'missing_required_fields:' || no_req END, CASE WHEN bad_date <> '' THEN 'invalid_date_format:' || bad_date END, CASE WHEN bad_money <> '' THEN 'invalid_money_format:' || bad_money END,
-  CASE WHEN low <> '' THEN 'low_field_confidence:' || low END, CASE WHEN confidence < 0.9 THEN 'low_confidence' END, CASE WHEN reject THEN 'reject_unusable_extraction' END) AS reasons, CASE WHEN no_rec <> '' THEN 'missing_recommended_fields:' || no_rec ELSE '' END AS warnings FROM judged),
+  CASE WHEN low <> '' THEN 'low_field_confidence:' || low END, CASE WHEN confidence < 0.9 THEN 'low_confidence:' || printf('%.3f', confidence) END, CASE WHEN reject THEN 'reject_unusable_extraction' END) AS reasons, CASE WHEN no_rec <> '' THEN 'missing_recommended_fields:' || no_rec ELSE '' END AS warnings FROM judged),
 verdicts AS (SELECT *, CASE WHEN reject THEN 'rejected' WHEN reasons <> '' THEN 'needs_review' ELSE 'auto_approved' END AS verdict FROM validated)"""
