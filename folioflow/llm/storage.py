@@ -45,6 +45,15 @@ def on_workers(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Send texts to the workers in batches of some megabytes: of ``rows`` rows, where the session has no number of its own. A batch counts rows only, and an executor holds several."""
+    if spark.conf.get(BATCH) == "10000" and not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; made only where it is unset and everything runs on this machine."""
     place = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
