@@ -1,7 +1,7 @@
 """Canonical JSON of fixed shapes as column expressions: sorted keys, no spaces, ASCII only.
 
 The text is built from the columns, so that content ids need no Python worker.
-``operators.pyops.canonical_json`` does the same for JSON of any shape.
+``operators.nested`` rewrites JSON of any shape.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import ops
+from folioflow.functions import text as X
+from folioflow.operators import nested, ops
 from folioflow.operators.store import JobStore
 from folioflow.plans.register import registry
 from folioflow.sources import exposition
@@ -100,3 +101,14 @@ def tick_alert(spark, sf_dir):
     ticks = ops.instant(e, ["event_type", "part"]).groupBy("event_type", "at").agg(F.avg("value").alias("value"))
     states = ops.firing(ticks.select("event_type", F.timestamp_seconds("at").alias("ts"), "at", F.coalesce(F.col("value") > 60, F.lit(False)).alias("bad")), 120, ["event_type"], gap=15)
     return states.groupBy("event_type", "state").agg(F.count("*").alias("ticks"), F.min("at").alias("first_tick"), F.max("at").alias("last_tick"))
+
+
+#: Deliveries with names at several depths; every text holds quotes, white space or other scripts.
+NESTED = """SELECT event_id, '{"user":{"ssn":{"digits":[1,2,' || cast(event_id as string) || ']},"name":"  A  ' || chr(92) || '"B' || chr(92) || '" é"},"items":[{"token":"t' || cast(user_id as string) || '","n":' || cast(user_id as string) || '},[],{},[{"ssn":null}]],"kind":"' || event_type || '"' || CASE WHEN event_id % 5 = 0 THEN ',"token":[true]' ELSE '' END || '}' AS payload FROM {events}"""
+
+
+@query("""SELECT event_id, '{"items":[{"n":' || user_id || ',"token":"[REDACTED]"},[],{},[{"ssn":"[REDACTED]"}]],"kind":"' || event_type || '"' || CASE WHEN event_id % 5 = 0 THEN ',"token":"[REDACTED]"' ELSE '' END || ',"user":{"name":"A ' || chr(92) || '"B' || chr(92) || '" é","ssn":"[REDACTED]"}}' AS payload, 'ssn,token' AS hidden FROM events""")
+def nested_redaction(spark, sf_dir):
+    """Keys hidden and texts cleaned at any depth."""
+    t = nested.rewrite(run_sql(spark, sf_dir, NESTED), "payload", ["ssn", "token"], X.collapse)
+    return t.select("event_id", "payload", F.array_join("payload_hidden", ",").alias("hidden"))

@@ -61,13 +61,9 @@ def spread(df: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
     is all computation. Files of some size keep their own splits: nothing is
     shuffled then.
     """
-    context = df.sparkSession.sparkContext
-    cores, paths = context.defaultParallelism, df.inputFiles()
-    if not paths or len(paths) >= cores:
-        return df
-    path = context._jvm.org.apache.hadoop.fs.Path
-    total = sum(path(p).getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path(p)).getLen() for p in paths)
-    return df.repartition(cores) if total < cores * least_bytes else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # the file index knows it; no names are listed
+    return df.repartition(cores) if size < cores * least_bytes and len(df.inputFiles()) < cores else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

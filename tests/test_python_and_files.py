@@ -1,30 +1,6 @@
-import hashlib
-import hmac
-import json
-
-from pyspark.sql import functions as F
-
-from folioflow.operators import pyops
 from folioflow.sources import files
 
 
-def test_canonical_json_and_signature(spark):
-    df = spark.createDataFrame([('{"b": 1, "a": {"y": "é", "x": [1, 2]}}',), ("no json",), (None,)], "t string")
-    rows = df.select(pyops.canonical_json("t").alias("c"), pyops.signature("k")(pyops.canonical_json("t")).alias("s")).collect()
-    assert rows[0].c == '{"a":{"x":[1,2],"y":"\\u00e9"},"b":1}' and rows[1].c is None and rows[2].c is None
-    assert rows[0].s == hmac.new(b"k", rows[0].c.encode(), hashlib.sha256).hexdigest()
-    ids = df.select(pyops.delivery_id(F.lit("key"), F.col("t")).alias("i")).distinct().collect()
-    assert [r.i for r in ids] == [hashlib.sha256(b"key").hexdigest()[:24]]
-
-
-def test_deep_redaction_and_evidence(spark):
-    df = spark.createDataFrame([('{"a": {"SSN": "1", "b": [{"ssn": 2}]}}',)], "t string")
-    got = json.loads(df.select(pyops.deep_redact(["ssn"])("t").alias("r")).first().r)
-    assert got == {"a": {"SSN": "[REDACTED]", "b": [{"ssn": "[REDACTED]"}]}}
-    text = spark.createDataFrame([("total 5 " + "x" * 60 + " total 6",)], "t string")
-    assert len(text.select(pyops.evidence(r"\btotal\b")("t").alias("e")).first().e) == 2
-
-
 def test_manifest_and_env(spark, tmp_path):
     m = tmp_path / "m.jsonl"
     m.write_text('# note\n\n{"sample_id": "a", "image_path": "x.png", "ground_truth": {"route": "invoice", "fields": {"k": "v"}}}\n{"image_path": ""}\n')
