@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import pixels as P
+from folioflow.operators import skew as SK
 from folioflow.operators import preflight as PF
 from folioflow.operators import records as R
 from folioflow.plans.register import registry
@@ -144,6 +145,21 @@ def preprocess_outcomes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", P.preprocessed(e.cast("string"), e % 5 != 0, why, e % 2 == 0).alias("p")).select("event_id", "p.*")
 
 
+#: The outline of a box of 1200 by 300 pixels a customer, turned by a whole number of degrees; the last side is left open for some.
+OUTLINE = """SELECT page, cast(round(600 + u * cos(radians(degree)) - v * sin(radians(degree))) as int) AS x, cast(round(600 + u * sin(radians(degree)) + v * cos(radians(degree))) as int) AS y
+ FROM (SELECT page, degree, CASE side WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN 0 ELSE 1200 END AS u, CASE side WHEN 0 THEN 0 WHEN 1 THEN 300 ELSE least(k, 300) END AS v
+  FROM (SELECT c_custkey AS page, c_custkey % 25 - 12 AS degree, explode(sequence(0, 1200, 2)) AS k FROM {customer}) LATERAL VIEW explode(array(0, 1, 2, 3)) s AS side)"""
+
+
+@query("SELECT c_custkey AS page, (c_custkey % 25 - 12)::double AS degrees, CASE WHEN abs(c_custkey % 25 - 12) > 10 THEN 0.0 ELSE (c_custkey % 25 - 12)::double END AS turn FROM customer")
+def skew_angles(spark, sf_dir):
+    """The skew of planted boxes, measured on their pixels, and the turn that follows from it."""
+    t = SK.angles(run_sql(spark, sf_dir, OUTLINE), "page")
+    degrees = F.when(F.col("angle") > 45, F.col("angle") - 90).otherwise(F.col("angle"))
+    turn = P.correction(F.col("angle"), F.col("pixels"), most=10.5)
+    return t.select("page", (F.round(degrees) + 0.0).alias("degrees"), (F.round(turn) + 0.0).alias("turn"))
+
+
 # -- objects and small helpers --------------------------------------------------------------
 @query("SELECT c_custkey AS job, 'jobs/' || cast(c_custkey AS varchar) || '/delivery/payload.json' AS key, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
 def json_objects_round_trip(spark, sf_dir):
