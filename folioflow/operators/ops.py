@@ -93,6 +93,18 @@ def flushes(alerts: DataFrame, groups: list[str], wait: int = 30, interval: int
     return t.groupBy(*groups, "flush").agg(F.count_if(F.col("state") == "firing").alias("firing"), F.count_if(F.col("state") == "resolved").alias("resolved"))
 
 
+def repeats(flushed: DataFrame, groups: list[str], until: Column, every: int = 14400) -> DataFrame:
+    """The notifications of ``flushes`` and, while alerts of a group still fire, a repeat ``every`` seconds after its last one, up to ``until`` (seconds). Adds active, the alerts that fire after it, and repeated."""
+    w = Window.partitionBy(*groups).orderBy("flush")
+    active = F.sum(F.col("firing") - F.col("resolved")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.unix_seconds(F.col("flush").cast("timestamp"))
+    t = flushed.withColumn("active", active).withColumn("_at", at).withColumn("_end", F.coalesce(F.lead("_at").over(w) - 1, until))
+    last = F.when((F.col("active") > 0) & (F.col("_end") >= F.col("_at") + every), F.col("_end")).otherwise(F.col("_at"))
+    t = t.withColumn("_t", F.explode(F.sequence("_at", last, F.lit(every).cast("long")))).withColumn("repeated", F.col("_t") > F.col("_at"))
+    own = [F.when(F.col("repeated"), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("firing", "resolved")]
+    return t.select(*groups, F.timestamp_seconds("_t").alias("flush"), *own, "active", "repeated")
+
+
 def running_counters(log: DataFrame, labels: list[str]) -> DataFrame:
     """Counter samples of a request log: the number of requests of the labels up to each time."""
     n = log.groupBy(*labels, "ts").agg(F.count("*").alias("_n"))

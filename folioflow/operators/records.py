@@ -81,6 +81,22 @@ def signature(secret: str, body: Column) -> Column:
     return F.sha2(F.concat(F.lit(outer), first), 256)
 
 
+def envelope(event: Column, event_type: Column, at: Column, tenant: Column, job: Column, workflow: Column, data: Column) -> Column:
+    """The canonical body of a webhook event. data: a map of strings; at: an ISO-8601 text."""
+    parts = {"event_id": event, "event_type": event_type, "occurred_at": at, "tenant_id": tenant, "job_id": job, "workflow_id": workflow}
+    return J.json_object(schema_version=F.lit('"1.0"'), data=J.json_map(data), **{k: J.json_text(v) for k, v in parts.items()})
+
+
+def headers(event: Column, event_type: Column, tenant: Column, job: Column, body: Column, secret: str, prefix: str, require: bool = True) -> Column:
+    """The headers of a webhook request as a map; signed where there is a secret. prefix: of the names of our own."""
+    if require and not secret:
+        raise ValueError("a secret is required to sign webhook events")
+    own = {"Content-Type": F.lit("application/json"), "Idempotency-Key": event, f"{prefix}-Event-Id": event, f"{prefix}-Event-Type": event_type, f"{prefix}-Job-Id": job, f"{prefix}-Tenant-Id": tenant}
+    if secret:
+        own[f"{prefix}-Signature-256"] = F.concat(F.lit("sha256="), signature(secret, body))
+    return F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v)))
+
+
 def webhook_target(request_url: Column, configured_url: Column, allowed: list[str], request_allowed: bool) -> Column:
     """Struct url and problem: null url and problem mean that nothing is to be sent."""
     blank = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))

@@ -160,6 +160,19 @@ def alert_notifications(spark, sf_dir):
     return ops.flushes(changes.select("service", "instance", F.col("ts").cast("timestamp").alias("ts"), "state"), ["service"]).withColumn("flush", F.col("flush").cast("timestamp_ntz"))
 
 
+FLUSHED = f"""(WITH c AS {CHANGES}, f AS (SELECT *, epoch(ts)::bigint AS tm, min(epoch(ts)::bigint) OVER (PARTITION BY service) AS first_ FROM c), k AS (SELECT *, greatest(0, ceil((tm - first_ - 30) / 300.0))::bigint AS k FROM f)
+SELECT service, first_ + 30 + k * 300 AS at_, count(*) FILTER (state = 'firing') AS firing, count(*) FILTER (state = 'resolved') AS resolved FROM k GROUP BY ALL)"""
+END = "1767225600 + 40 * 60"  #: the end of the samples
+
+
+@query(f"""WITH a AS (SELECT *, sum(firing - resolved) OVER w AS active, coalesce(lead(at_) OVER w - 1, {END}) AS end_ FROM {FLUSHED} WINDOW w AS (PARTITION BY service ORDER BY at_)),
+x AS (SELECT *, unnest(range(at_, CASE WHEN active > 0 AND end_ >= at_ + 420 THEN end_ ELSE at_ END + 1, 420)) AS t FROM a)
+SELECT service, make_timestamp(t * 1000000) AS flush, CASE WHEN t > at_ THEN 0 ELSE firing END AS firing, CASE WHEN t > at_ THEN 0 ELSE resolved END AS resolved, active::bigint AS active, t > at_ AS repeated FROM x""")
+def alert_repeats(spark, sf_dir):
+    t = ops.repeats(alert_notifications(spark, sf_dir), ["service"], F.expr(f"cast({END} as bigint)"), 420)
+    return t.withColumn("flush", F.col("flush").cast("timestamp_ntz"))
+
+
 # -- panels --------------------------------------------------------------------------
 @query(f"SELECT ts, sum(value) AS up, count(*) AS targets FROM {series_sql('up')} GROUP BY ts")
 def panel_up(spark, sf_dir):

@@ -80,6 +80,21 @@ def webhook_signatures(spark, sf_dir):
     return t.select("event_id", R.event_id(given, F.col("idem"), kind, tenant, F.col("job"), none, data).alias("webhook_event_id"), R.signature(SECRET, body).alias("signature"))
 
 
+@query(EVENTS + f""", i AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'given-' || cast(event_id AS varchar) ELSE 'evt-' || left(sha256(CASE WHEN coalesce(idem, '') <> '' THEN trim(idem) ELSE body END), 24) END AS evt FROM b),
+v AS (SELECT *, '{{"data":{{"status":"' || event_type || '"}},"event_id":"' || evt || '","event_type":"document.' || event_type || '","job_id":"' || job || '","occurred_at":"2026-01-01T00:00:00+00:00","schema_version":"1.0","tenant_id":"t' || cast(user_id % 5 AS varchar) || '","workflow_id":null}}' AS envelope FROM i)
+SELECT event_id, envelope AS body, 'Content-Type=application/json;Idempotency-Key=' || evt || ';X-Doc-Event-Id=' || evt || ';X-Doc-Event-Type=document.' || event_type || ';X-Doc-Job-Id=' || job || ';X-Doc-Signature-256=sha256=' || sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(envelope)))) || ';X-Doc-Tenant-Id=t' || cast(user_id % 5 AS varchar) AS headers FROM v""")
+def webhook_requests(spark, sf_dir):
+    """The envelope and the headers of every event, signed over the envelope."""
+    t = requests(spark, sf_dir)
+    kind, tenant = F.concat(F.lit("document."), "event_type"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string"))
+    data, none = F.create_map(F.lit("status"), F.col("event_type")), F.lit(None).cast("string")
+    given = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit(" given-"), F.col("event_id").cast("string")))
+    t = t.withColumn("evt", R.event_id(given, F.col("idem"), kind, tenant, F.col("job"), none, data))
+    t = t.withColumn("body", R.envelope(F.col("evt"), kind, F.lit("2026-01-01T00:00:00+00:00"), tenant, F.col("job"), none, data))
+    sent = F.array_sort(F.map_entries(R.headers(F.col("evt"), kind, tenant, F.col("job"), F.col("body"), SECRET, "X-Doc")))
+    return t.select("event_id", "body", F.array_join(F.transform(sent, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("headers"))
+
+
 URLS = "SELECT page_id, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://hooks.example.net/x' WHEN 2 THEN 'HTTP://Hooks.Example.net:8080/' WHEN 3 THEN 'ftp://hooks.example.net/x' WHEN 4 THEN '/relative' ELSE url END AS url, CASE page_id % 3 WHEN 0 THEN ' https://own.example.net/in ' WHEN 1 THEN 'own' ELSE NULL END AS own FROM {pages}"
 
 
