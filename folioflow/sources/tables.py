@@ -62,7 +62,7 @@ def spread(df: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
     shuffled then.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # the file index knows it; no names are listed
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the file index knows it; no names are listed
     return df.repartition(cores) if size < cores * least_bytes and len(df.inputFiles()) < cores else df
 
 
