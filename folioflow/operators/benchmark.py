@@ -78,7 +78,7 @@ def truthy(v: Column) -> Column:
 
 # -- thresholds ---------------------------------------------------------------------------
 def thresholds(rows: DataFrame) -> DataFrame:
-    """What holds for each threshold: the given value before the file's. rows: name, given, from_file (texts). Rates lie in 0..1, other limits are not negative, the number of samples is whole and at least 1; 0 samples count as none asked for."""
+    """What holds for each threshold: the given value before the file's. rows: name, given, from_file (texts); further columns are kept. Rates lie in 0..1, other limits are not negative, the number of samples is whole and at least 1; 0 samples count as none asked for."""
     t = rows.withColumn("value", F.coalesce(F.col("given").try_cast("double"), F.col("from_file").try_cast("double")))
     rate = F.col("name").rlike("rate|accuracy|f1")
     error = (
@@ -86,7 +86,8 @@ def thresholds(rows: DataFrame) -> DataFrame:
         .when(rate & ~F.col("value").between(0, 1), F.concat("name", F.lit(" must be between 0 and 1"))).when(F.col("value") < 0, F.concat("name", F.lit(" must be zero or greater")))
     )
     whole = F.when(F.col("name") == "min_sample_count", F.greatest(F.lit(1.0), F.floor("value").cast("double"))).otherwise(F.col("value"))
-    return t.select("name", F.when(error.isNull(), whole).alias("value"), error.alias("error"))
+    kept = [c for c in rows.columns if c not in ("given", "from_file")]
+    return t.select(*kept, F.when(error.isNull(), whole).alias("value"), error.alias("error"))
 
 
 def custom_metrics(aggregates: DataFrame, without: tuple[str, ...] = ("sample_count", "completed_count")) -> DataFrame:

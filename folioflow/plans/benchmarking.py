@@ -72,13 +72,16 @@ def validation_accuracy(spark, sf_dir):
     return m.groupBy("expected_route").agg(F.count("*").alias("n"), F.round(F.avg(F.col("validation_correct").cast("int")), 6).alias("accuracy"))
 
 
-LIMITS = [("min_sample_count", None, "0"), ("min_completion_rate", "0.9", "0.95"), ("min_route_accuracy", None, "1.5"), ("min_field_f1", None, None), ("max_ocr_cer", "-1", None), ("max_p95_latency_seconds", None, "180"), ("max_ocr_wer", None, "x")]
-_LIT = lambda x: "NULL" if x is None else f"'{x}'"
+#: A threshold an event: given, from a file, from both, from neither; some are no numbers or out of bounds.
+LIMITS = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'min_sample_count' WHEN 1 THEN 'min_completion_rate' WHEN 2 THEN 'min_route_accuracy' WHEN 3 THEN 'min_field_f1' WHEN 4 THEN 'max_ocr_cer' WHEN 5 THEN 'max_p95_latency_seconds' ELSE 'max_ocr_wer' END AS name,
+ CASE WHEN event_id % 3 = 0 THEN cast(user_id % 5 - 1 as string) WHEN event_id % 11 = 1 THEN '0.5' END AS given, CASE event_id % 4 WHEN 0 THEN cast(user_id % 4 as string) WHEN 1 THEN 'x' || event_type WHEN 2 THEN '0.25' END AS from_file FROM {events}"""
 
 
-@query("SELECT name, CASE name WHEN 'min_sample_count' THEN 1.0::double WHEN 'min_completion_rate' THEN 0.9::double WHEN 'max_p95_latency_seconds' THEN 180.0::double END AS value, CASE name WHEN 'min_route_accuracy' THEN 'min_route_accuracy must be between 0 and 1' WHEN 'max_ocr_cer' THEN 'max_ocr_cer must be zero or greater' WHEN 'max_ocr_wer' THEN 'threshold max_ocr_wer must be numeric' END AS error FROM (VALUES " + ", ".join(f"({_LIT(a)}, {_LIT(b)}, {_LIT(c)})" for a, b, c in LIMITS) + ") v(name, given, from_file)")
+@query(f"""WITH t AS (SELECT *, coalesce(try_cast(given AS double), try_cast(from_file AS double)) AS v FROM ({plain_sql(LIMITS)})),
+e AS (SELECT *, CASE WHEN from_file IS NOT NULL AND try_cast(from_file AS double) IS NULL THEN 'threshold ' || name || ' must be numeric' WHEN (contains(name, 'rate') OR contains(name, 'accuracy') OR contains(name, 'f1')) AND NOT v BETWEEN 0 AND 1 THEN name || ' must be between 0 and 1' WHEN v < 0 THEN name || ' must be zero or greater' END AS error FROM t)
+SELECT event_id, name, CASE WHEN error IS NULL THEN CASE WHEN name = 'min_sample_count' THEN CASE WHEN v IS NULL OR v < 1 THEN 1.0 ELSE floor(v) END ELSE v END END AS value, error FROM e""")
 def gate_thresholds(spark, sf_dir):
-    return B.thresholds(spark.createDataFrame(LIMITS, "name string, given string, from_file string"))
+    return B.thresholds(run_sql(spark, sf_dir, LIMITS))
 
 
 @query(f"WITH a AS ({A.AGG}) SELECT metric, value FROM (UNPIVOT (SELECT * EXCLUDE (sample_count) FROM a) ON COLUMNS(*) INTO NAME metric VALUE value) WHERE value IS NOT NULL")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import ops
 from folioflow.plans.register import registry
-from folioflow.sources.tables import table
+from folioflow.sources.tables import plain_sql, run_sql, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -211,13 +211,14 @@ def observability_targets(spark, sf_dir):
     return t.groupBy("ts").agg(F.count("*").alias("target_count"), F.count_if(F.col("value") == 1).alias("up_target_count"), names.alias("up_services"))
 
 
-REQUIRED = [f"alert_{n}" for n in ("service_down", "queue_backlog_high", "disk_space_low", "made_up_rule", "another_rule")]
+#: A rule for each kind of event and part of the users; those that were ever marked are loaded.
+RULES = "SELECT DISTINCT 'alert_' || event_type || '_' || cast(user_id % 200 as string) AS name FROM {events}"
+LOADED = RULES + " WHERE event_id % 7 = 0"
 
 
-@query("SELECT name FROM (VALUES " + ", ".join(f"('{n}')" for n in REQUIRED) + ") v(name) WHERE name NOT IN (" + ", ".join(f"'{n}'" for n in QUERIES if n.startswith("alert_")) + ")")
+@query(f"{plain_sql(RULES)} EXCEPT {plain_sql(LOADED)}")
 def missing_alert_rules(spark, sf_dir):
-    loaded = spark.createDataFrame([(n,) for n in QUERIES if n.startswith("alert_")], "name string")
-    return spark.createDataFrame([(n,) for n in REQUIRED], "name string").join(loaded, "name", "left_anti")
+    return run_sql(spark, sf_dir, RULES).join(run_sql(spark, sf_dir, LOADED), "name", "left_anti")
 
 
 @query(f"SELECT ts, up >= 10 AND q > 0 AND d > 0 AS ready, up, q AS queue_series, d AS disk_series FROM (SELECT t.ts, coalesce((SELECT count(*) FROM {series_sql('up')} u WHERE u.ts = t.ts AND value = 1), 0) AS up, coalesce((SELECT count(*) FROM {series_sql('backlog')} u WHERE u.ts = t.ts), 0) AS q, coalesce((SELECT count(*) FROM {series_sql('avail')} u WHERE u.ts = t.ts), 0) AS d FROM {TICKS} t)")
