@@ -13,6 +13,7 @@ from folioflow.sources.tables import plain_sql, run_sql, table
 from folioflow.streaming import intake as IN
 from folioflow.streaming import series as SE
 from folioflow.streaming import streams as ST
+from folioflow.streaming.receipts import Receipts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,9 +93,10 @@ def stream_webhook_receipts(spark, sf_dir):
     """Terminal events are sent once: a receipt a key, whatever the batches."""
     base = f"{scratch(spark)}/receipts-{uuid.uuid4().hex}"
     e = ST.source(spark, sf_dir, "events").select(F.concat(F.lit("evt-"), F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("event_key"))
-    for run in range(2):  # the second run finds all receipts there
-        ST.to_receipts(e, f"{base}/out", "event_key", f"{base}/state-{run}").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    sink = Receipts(spark, f"{base}/out", e.schema, "event_key")
+    for run in range(2):  # a second stream of the same events finds all receipts there
+        sink.run(e, f"{base}/state-{run}")
+    return sink.all().select("event_key")
 
 
 #: Every document is uploaded, a third of them again later: under the same key, another or none. Some have a signature, some the wrong type, source or name.

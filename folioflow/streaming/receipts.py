@@ -1,13 +1,15 @@
 """Receipts of what was sent, each key once, in a first place or, where that fails, a second one.
 
-Receipts lie in folders by bucket of the key and by batch. A batch looks for
-earlier receipts of its keys in the buckets that it has itself, and only in
-earlier batches: when it runs again, after a crash in the middle, it finds what
-it found before and replaces what it wrote.
+Receipts lie in folders by bucket of the key and by batch (its stream and number).
+A batch looks for receipts of its keys in the buckets that it has itself, and in
+all batches but its own: when it runs again, after a crash in the middle, it finds
+what it found before and replaces what it wrote.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,7 @@ class Receipts:
             spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{root}/{place}/bucket=-1/batch=-1")
 
     def at(self, place: str) -> DataFrame:
-        return self.spark.read.schema(StructType(list(self.schema.fields)).add("bucket", "long").add("batch", "long")).parquet(f"{self.root}/{place}")
+        return self.spark.read.schema(StructType(list(self.schema.fields)).add("bucket", "long").add("batch", "string")).parquet(f"{self.root}/{place}")
 
     def all(self) -> DataFrame:
         """Every receipt and its place; a key in both counts in the first."""
@@ -37,13 +39,14 @@ class Receipts:
         second = second.join(first.select(self.key), self.key, "left_anti")
         return first.withColumn("place", F.lit(PLACES[0])).unionByName(second.withColumn("place", F.lit(PLACES[1])))
 
-    def write(self, batch: DataFrame, number: int) -> None:
-        """Receipts of the keys that have none yet."""
+    def write(self, batch: DataFrame, number: int, run: str = "0") -> None:
+        """Receipts of the keys that have none yet. run: a name of the stream, which numbers its batches."""
+        own_batch = f"{run}-{number}"
         rows = batch.select(*self.schema.names).dropDuplicates([self.key]).withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)))
-        rows = keep(rows.withColumn("batch", F.lit(number).cast("long")), "receipts-batch")
+        rows = keep(rows.withColumn("batch", F.lit(own_batch)), "receipts-batch")
         own = [r[0] for r in rows.select("bucket").distinct().collect()]  # no more than there are buckets
         for place in PLACES:
-            old = self.at(place).filter(F.col("bucket").isin(own) & (F.col("batch") < number)).select(self.key)
+            old = self.at(place).filter(F.col("bucket").isin(own) & (F.col("batch") != own_batch)).select(self.key)
             rows = rows.join(old, self.key, "left_anti")
         rows = keep(rows, "receipts-new")
         self.put(rows.filter(self.refused), PLACES[1])
@@ -56,4 +59,5 @@ class Receipts:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.root}/{place}")
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
-        stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        stream.writeStream.foreachBatch(lambda batch, number: self.write(batch, number, run)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

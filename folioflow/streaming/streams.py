@@ -123,17 +123,3 @@ def alerts(samples: DataFrame, hold_seconds: int, key: str) -> DataFrame:
         yield pd.DataFrame(out, columns=["id", "state"])
 
     return samples.withColumn("at", F.col("ts").cast("long")).groupBy(key).applyInPandasWithState(step, "id long, state string", "since long", "append", GroupStateTimeout.NoTimeout)
-
-
-def to_receipts(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Idempotent sink: each batch appends only rows whose key has no receipt yet."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

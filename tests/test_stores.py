@@ -88,7 +88,9 @@ def test_receipts_once_a_key_over_crashes_and_places(spark, monkeypatch):
         sink.write(df, 2)
     got = {r.event_key: (r.place, r.batch) for r in sink.all().collect()}
     assert sink.all().count() == 30 and set(got) == {f"k{k}" for k in range(30)}
-    assert got["k7"] == ("secondary", 0) and got["k3"] == ("primary", 0) and got["k25"] == ("primary", 1) and got["k29"] == ("secondary", 2)
+    assert got["k7"] == ("secondary", "0-0") and got["k3"] == ("primary", "0-0") and got["k25"] == ("primary", "0-1") and got["k29"] == ("secondary", "0-2")
+    sink.write(df, 0, "another stream")
+    assert sink.all().count() == 30
 
 
 # -- metric text -----------------------------------------------------------------------
