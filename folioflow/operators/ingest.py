@@ -56,6 +56,11 @@ def idempotent(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("accepted_job", F.when(keyed, F.first("job_id").over(w)).otherwise(F.col("job_id"))).withColumn("is_replay", F.col("accepted_job") != F.col("job_id"))
 
 
+def second(at: Column) -> Column:
+    """Seconds since 1970, the nearest whole one; of two the even one. Windows and orders of intake are of such seconds."""
+    return F.rint(F.unix_micros(at.cast("timestamp")) / F.lit(1e6)).cast("long")
+
+
 def dedupe_anchored(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours, anchors: DataFrame | None = None, slot: int = 3600) -> DataFrame:
     """One row per job (tenant_id, sha256, job_id, duplicate_of): the latest accepted job of the same tenant and content within the window, unless that one failed.
 
@@ -74,7 +79,7 @@ def dedupe_anchored(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours
     """
     span = hours * 3600
     content = F.struct("tenant_id", "sha256")
-    rows = jobs.select(content.alias("g"), F.col("created_at").cast("timestamp").cast("long").alias("at"), "job_id", F.coalesce(F.col("status") == "FAILED", F.lit(False)).alias("failed"), F.lit(False).alias("old"))
+    rows = jobs.select(content.alias("g"), second(F.col("created_at")).alias("at"), "job_id", F.coalesce(F.col("status") == "FAILED", F.lit(False)).alias("failed"), F.lit(False).alias("old"))
     if anchors is not None:
         before = anchors.select(content.alias("g"), "at", "job_id", "failed", F.lit(True).alias("old"))
         since = before.select(F.col("g").alias("_g"), F.col("at").alias("_since"))
@@ -115,18 +120,19 @@ def dedupe_anchored(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours
 def anchors_of(jobs: DataFrame, found: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """The last accepted job of each content: of ``jobs`` as ``dedupe_anchored`` judged them, else of before. ``job_id`` names a row of ``jobs``."""
     kept = jobs.join(found.filter("duplicate_of IS NULL").select("job_id"), "job_id", "left_semi")
-    at = F.col("created_at").cast("timestamp").cast("long")
+    at = second(F.col("created_at"))
     rows = kept.filter("created_at IS NOT NULL").select("tenant_id", "sha256", "job_id", at.alias("at"), F.coalesce(F.col("status") == "FAILED", F.lit(False)).alias("failed"))
     rows = rows if before is None else rows.unionByName(before)
     last = rows.groupBy("tenant_id", "sha256").agg(F.max(F.struct("at", "job_id", "failed")).alias("r"))
     return last.select("tenant_id", "sha256", "r.job_id", "r.at", "r.failed")
 
 
-def recent_by_hash(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours) -> DataFrame:
-    """As-of self join: for each job the latest earlier job of the same tenant and content within the window. A window frame does it in one shuffle."""
-    seconds = F.col("created_at").cast("timestamp").cast("long")
-    w = Window.partitionBy("tenant_id", "sha256").orderBy(seconds).rangeBetween(-hours * 3600, -1)
-    return jobs.withColumn("recent_job", F.max(F.struct(seconds, "job_id")).over(w)["job_id"])
+def recent_by_hash(jobs: DataFrame, hours: int = S.SETTINGS.dedupe_window_hours, order: Column | None = None) -> DataFrame:
+    """As-of self join: for each job the latest earlier job of the same tenant and content within the window. A window frame does it in one shuffle. order: what makes a job the latest, of its second ``_at`` and its columns; without it that second, then the id."""
+    t = jobs.withColumn("_at", second(F.col("created_at")))
+    w = Window.partitionBy("tenant_id", "sha256").orderBy("_at").rangeBetween(-hours * 3600, -1)
+    latest = F.struct("_at", "job_id") if order is None else F.struct(order, "_at", "job_id")
+    return t.withColumn("recent_job", F.max(latest).over(w)["job_id"]).drop("_at")
 
 
 def latest_status(events: DataFrame) -> DataFrame:
