@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from folioflow.operators import ingest as I
 from folioflow.plans.intake import J
 from folioflow.plans.intake import ORACLE_SQL as INTAKE_SQL
 from folioflow.sources.files import keep, scratch
@@ -38,10 +39,9 @@ def deliveries(df, by, parts=4):
         yield rows.filter(of == k), rows.schema
 
 
-def delivered(spark, df, base):
-    """A table of events as such a stream; every step has it written one part further."""
-    at = F.unix_seconds(F.col("ts"))
-    for part, schema in deliveries(df, at):
+def delivered(spark, df, base, second=F.unix_seconds):
+    """A table of events as such a stream; every step has it written one part further. second: of a time, so that no second is in two parts."""
+    for part, schema in deliveries(df, second(F.col("ts"))):
         part.coalesce(2).write.mode("append").parquet(f"{base}/in")
         yield spark.readStream.schema(schema).parquet(f"{base}/in")
 
@@ -77,7 +77,7 @@ def stream_idempotent_intake(spark, sf_dir):
 @query(INTAKE_SQL["dedupe_24h"])
 def stream_dedupe_24h(spark, sf_dir):
     base = f"{scratch(spark)}/dedupe-{uuid.uuid4().hex}"
-    for e in delivered(spark, timed(spark, sf_dir), base):
+    for e in delivered(spark, timed(spark, sf_dir), base, I.second):
         ST.dedupe(jobs(e), base)
     return ST.given(spark, "job_id long, duplicate_of long", base).drop("batch")
 
