@@ -13,7 +13,7 @@ from folioflow.operators import preflight as PF
 from folioflow.operators import records as R
 from folioflow.plans.register import registry
 from folioflow.sources import files
-from folioflow.sources.tables import plain_sql, run_sql, table
+from folioflow.sources.tables import plain_sql, run_sql, spread, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -154,7 +154,7 @@ OUTLINE = """SELECT page, cast(round(600 + u * cos(radians(degree)) - v * sin(ra
 @query("SELECT c_custkey AS page, (c_custkey % 25 - 12)::double AS degrees, CASE WHEN abs(c_custkey % 25 - 12) > 10 THEN 0.0 ELSE (c_custkey % 25 - 12)::double END AS turn FROM customer")
 def skew_angles(spark, sf_dir):
     """The skew of planted boxes, measured on their pixels, and the turn that follows from it."""
-    t = SK.angles(run_sql(spark, sf_dir, OUTLINE), "page")
+    t = SK.angles(run_sql(spark, sf_dir, OUTLINE, customer=spread(table(spark, sf_dir, "customer"))), "page")
     degrees = F.when(F.col("angle") > 45, F.col("angle") - 90).otherwise(F.col("angle"))
     turn = P.correction(F.col("angle"), F.col("pixels"), most=10.5)
     return t.select("page", (F.round(degrees) + 0.0).alias("degrees"), (F.round(turn) + 0.0).alias("turn"))

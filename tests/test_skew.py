@@ -38,3 +38,24 @@ def test_points_and_lines(spark):
     got = {r.page: r for r in skew.angles(spark.createDataFrame(rows, "page int, x int, y int"), "page").collect()}
     assert (got[1].angle, got[1].pixels) == (0.0, 1) and abs(got[2].angle - math.degrees(math.atan(2))) < 1e-9 and (got[3].angle, got[3].width, got[3].pixels) == (0.0, 8.0, 10)
     assert skew.angles(spark.createDataFrame([], "page int, x int, y int"), "page").count() == 0 and F is not None
+
+
+@pytest.mark.parametrize("size", [1, 40, 10_000])
+def test_batches_of_pixels_keep_all_corners(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(p, int(x), int(y)) for p in ("a", "b", None) for x, y in rng.integers(-90, 90, (300, 2)) * (1, 7)] + [("c", k, k * k) for k in range(-40, 40)] + [("far", 0, 0), ("far", 1 << 30, 3), ("far", 5, 1 << 30)]
+    rng.shuffle(rows)
+    t = spark.createDataFrame([(p, int(x), int(y)) for p, x, y in rows] + [("a", None, 3), ("b", 3, None)], "page string, x long, y long")
+    want = {p: (*skew.rectangle(np.array([(int(x), int(y)) for q, x, y in rows if q == p])), sum(q == p for q, _, _ in rows)) for p in {p for p, _, _ in rows}}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {r.page: (r.angle, r.width, r.height, r.pixels) for r in skew.angles(t, "page").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
+
+
+def test_few_points_of_a_page_are_shuffled(spark):
+    rows = [(1, x, y) for x, y in box(7, 601, 301)]
+    assert skew.corners(spark.createDataFrame(rows, "page int, x int, y int").coalesce(1), "page").count() < len(rows) / 100
