@@ -79,9 +79,12 @@ def missing_ticks(ticks: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def ratio(over: DataFrame, under: DataFrame, labels: list[str]) -> DataFrame:
-    """The quotient of two series with the same labels and times; times that only one has are left out."""
+    """The quotient of two series with the same labels and times; times that only one has are left out.
+
+    Both are shuffled: of a series that is made from few rows Spark expects few rows, and would collect one side in the driver.
+    """
     a, b = over.select(*labels, "ts", F.col("value").alias("_a")), under.select(*labels, "ts", F.col("value").alias("_b"))
-    return a.join(b, [*labels, "ts"]).select(*labels, "ts", (F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0))).alias("value"))
+    return a.join(b.hint("merge"), [*labels, "ts"]).select(*labels, "ts", (F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0))).alias("value"))
 
 
 def flushes(alerts: DataFrame, groups: list[str], wait: int = 30, interval: int = 300) -> DataFrame:
