@@ -28,24 +28,33 @@ def histogram_quantile(buckets: DataFrame, q: float, groups: list[str]) -> DataF
     return hit.groupBy(*groups).agg(F.min_by(F.when(F.col("le") == float("inf"), F.col("_low")).otherwise(F.coalesce(inside, F.col("le"))), "le").alias("value"))
 
 
-def firing(samples: DataFrame, hold_seconds: int, labels: list[str], gap: int | None = None) -> DataFrame:
-    """Samples at which a boolean condition (column bad) has held for ``hold_seconds`` without a break: gaps and islands. With ``gap``, a longer time without a sample is a break too."""
-    at = F.col("ts").cast("timestamp").cast("long")
-    w = Window.partitionBy(*labels).orderBy("_at")
-    t = samples.withColumn("_at", at)
+def _held(samples: DataFrame, hold_seconds: int, labels: list[str], gap: int | None) -> DataFrame:
+    """Samples with their state and ``_us``, their time. All windows are of one order, so a series is sorted once."""
+    at = F.col("ts").cast("timestamp")
+    w = Window.partitionBy(*labels).orderBy("_us")
+    t = samples.withColumn("_us", F.unix_micros(at)).withColumn("_at", F.unix_seconds(at))
     late = F.lit(False) if gap is None else F.coalesce(F.col("_at") - F.lag("_at").over(w) > gap, F.lit(False))
-    t = t.withColumn("_late", late).withColumn("_turn", F.sum(F.when(F.col("bad") & ~F.col("_late"), 0).otherwise(1)).over(w)).drop("_late")
-    since = F.min(F.when(F.col("bad"), F.col("_at"))).over(Window.partitionBy(*labels, "_turn"))
-    t = t.withColumn("_since", since)
+    t = t.withColumn("_late", late)
+    # a run of bad samples starts at the first that has no other between itself and the last break
+    broken = F.max(F.when(~F.coalesce(F.col("bad") & ~F.col("_late"), F.lit(False)), F.col("_us"))).over(w)
+    before = F.max(F.when(F.col("bad"), F.col("_us"))).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("_broken", broken).withColumn("_before", before)
+    start = F.when(F.col("bad") & (F.col("_before").isNull() | F.coalesce(F.col("_before") < F.col("_broken"), F.lit(False))), F.col("_at"))
+    t = t.withColumn("_start", start).withColumn("_since", F.when(F.col("bad"), F.max("_start").over(w)))
     state = F.when(~F.col("bad"), "inactive").when(F.col("_at") - F.col("_since") >= hold_seconds, "firing").otherwise("pending")
-    return t.withColumn("state", state).drop("_at", "_turn", "_since")
+    return t.withColumn("state", state).drop("_at", "_late", "_broken", "_before", "_start", "_since")
+
+
+def firing(samples: DataFrame, hold_seconds: int, labels: list[str], gap: int | None = None) -> DataFrame:
+    """Samples at which a boolean condition (column bad) has held for ``hold_seconds`` without a break. With ``gap``, a longer time without a sample is a break too."""
+    return _held(samples, hold_seconds, labels, gap).drop("_us")
 
 
 def alert_states(samples: DataFrame, hold_seconds: int, labels: list[str]) -> DataFrame:
     """States of a boolean condition (column bad): inactive, pending, firing once it has held for ``hold_seconds``, resolved at the first sample after that."""
-    t = firing(samples, hold_seconds, labels)
-    before = F.lag("state").over(Window.partitionBy(*labels).orderBy(F.col("ts")))
-    return t.withColumn("state", F.when((F.col("state") == "inactive") & (before == "firing"), "resolved").otherwise(F.col("state")))
+    t = _held(samples, hold_seconds, labels, None)
+    before = F.lag("state").over(Window.partitionBy(*labels).orderBy("_us"))
+    return t.withColumn("state", F.when((F.col("state") == "inactive") & (before == "firing"), "resolved").otherwise(F.col("state"))).drop("_us")
 
 
 def instant(samples: DataFrame, labels: list[str], step: int = 15, lookback: int = 300, slot: int = 3600) -> DataFrame:

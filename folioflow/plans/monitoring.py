@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import ops
 from folioflow.plans.register import registry
-from folioflow.sources.tables import plain_sql, run_sql, table
+from folioflow.sources.tables import plain_sql, run_sql, spread, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -39,7 +39,7 @@ GAPS = {"up": "m BETWEEN 30 AND 33", "backlog": "m BETWEEN 34 AND 35"}
 
 
 def series(spark, sf_dir, name: str) -> DataFrame:
-    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(MINUTES - 1))).alias("m"))
+    t = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(MINUTES - 1))).alias("m"))
     t = t.filter(f"NOT ({GAPS[name]})") if name in GAPS else t
     return t.select(F.col("c").alias("instance"), F.concat(F.lit("s"), F.col("s").cast("string")).alias("service"), F.expr(f"{START_HERE} + make_interval(0, 0, 0, 0, 0, m, 0)").alias("ts"), F.expr(VALUES[name]).cast("double").alias("value"))
 
