@@ -1,8 +1,9 @@
 """Uploads from files to queued jobs, in one stateful stream.
 
-An upload is a file in a folder whose name says what a request would say in
-headers and form fields. The stream reads the bytes, checks them and takes
-their SHA-256; then only small rows travel to the state of their tenant, which
+An upload is a row of a landing file: its bytes beside what the request says in
+headers and form fields. A file holds many uploads, since a file and a folder
+for each would be listed, opened and committed one by one. The stream reads the
+bytes, checks them and takes their SHA-256; then only small rows travel to the state of their tenant, which
 answers an idempotency key before it looks at the content, and a content before
 it makes a job:
 
@@ -29,7 +30,7 @@ from folioflow import schemas as S
 from folioflow.functions import text as X
 from folioflow.operators import ingest as I
 
-#: What the folder of an upload names, in order.
+#: What a request says of its upload.
 MARKS = ("tenant_id", "idempotency_key", "source", "declared", "at", "seq", "name")
 #: Where submissions may come from.
 SOURCES = ("api", "email", "batch", "connector")
@@ -37,18 +38,18 @@ RESULT = "seq long, tenant_id string, outcome string, http_status int, job_id lo
 
 
 def submit(requests: DataFrame, root: str) -> None:
-    """Write text uploads: one file a request. requests: the columns of ``MARKS`` and body."""
-    place = F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in MARKS)), "|")
-    requests.select(F.col("body").alias("value"), place.alias("upload")).write.partitionBy("upload").mode("append").text(root)
-
-
-def uploads(spark: SparkSession, root: str, files_per_batch: int = 100_000) -> DataFrame:
-    """The uploads below ``root`` as a stream: ``MARKS``, content, size_bytes and sha256."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(root)
-    marks = F.split(F.url_decode(F.regexp_extract("path", "/upload=([^/]*)/[^/]*$", 1)), r"\|")
-    own = {c: F.nullif(F.get(marks, F.lit(k)), F.lit("")) for k, c in enumerate(MARKS)}
-    own |= {c: own[c].cast("long") for c in ("at", "seq")}
-    return files.select(*(v.alias(c) for c, v in own.items()), "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Land text uploads: a row a request, many in one file. requests: the columns of ``MARKS`` and body; the content is the body's bytes and a line feed."""
+    content = F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).cast("binary").alias("content")
+    kinds = {c: "long" if c in ("at", "seq") else "string" for c in MARKS}
+    requests.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()), content).write.mode("append").parquet(root)
+
+
+def uploads(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
+    """The landed uploads below ``root`` as a stream: ``MARKS``, content, size_bytes and sha256. Neither the listing nor the tasks grow with the number of uploads, only with their bytes."""
+    landed = ", ".join(f"{c} {'long' if c in ('at', 'seq') else 'string'}" for c in MARKS) + ", content binary"
+    rows = spark.readStream.schema(landed).option("maxFilesPerTrigger", files_per_batch).parquet(root)
+    own = (F.col(c) if c in ("at", "seq") else F.nullif(F.col(c), F.lit("")).alias(c) for c in MARKS)
+    return rows.select(*own, "content", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def known_source(source: Column, allowed: tuple[str, ...] = SOURCES) -> Column:

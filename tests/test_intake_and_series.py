@@ -117,6 +117,19 @@ def test_intake_answers_keys_before_contents_over_restarts(spark):
     }
 
 
+def test_many_uploads_are_few_files(spark):
+    base = f"{scratch(spark)}/test-{uuid.uuid4().hex}"
+    t = spark.range(0, 3000, 1, 4).selectExpr("'t' AS tenant_id", "'' AS idempotency_key", "'api' AS source", "CAST(NULL AS string) AS declared", "id AS at", "id AS seq", "concat('a|b/', id, '.pdf') AS name", "IF(id = 7, NULL, concat('%PDF-', id)) AS body")
+    intake.submit(t, f"{base}/up")
+    assert len(spark.read.parquet(f"{base}/up").inputFiles()) <= 4
+    rows = intake.uploads(spark, f"{base}/up")
+    streams.advance(rows.select("idempotency_key", "seq", "name", "size_bytes", "sha256"), base)
+    got = streams.given(spark, "idempotency_key string, seq long, name string, size_bytes long, sha256 string", base).drop("batch")
+    own = F.coalesce("body", F.lit(""))
+    expected = t.select(F.lit(None).cast("string"), "seq", "name", F.length(own).cast("long") + 1, F.sha2(F.concat(own, F.lit("\n")).cast("binary"), 256))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(map(tuple, expected.collect()), key=lambda r: r[1])
+
+
 # -- series ----------------------------------------------------------------------------
 def test_alert_life_by_timers(spark):
     base = f"{scratch(spark)}/test-{uuid.uuid4().hex}"
