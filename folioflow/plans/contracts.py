@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as X
 from folioflow.operators import contracts as C
 from folioflow.plans.register import registry
-from folioflow.sources.tables import plain_sql, run_sql
+from folioflow.sources.tables import plain_sql, run_sql, spread_sql
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -28,7 +28,7 @@ T = plain_sql(STAGE_TEXTS)
 
 
 def parsed(spark, sf_dir):
-    t = run_sql(spark, sf_dir, STAGE_TEXTS)
+    t = spread_sql(spark, sf_dir, STAGE_TEXTS)
     return t.select("event_id", "event_type", "user_id", *(F.try_parse_json(f"{s}_json").alias(s) for s in ("start", *C.STAGES)))
 
 
@@ -176,7 +176,7 @@ def _result_sql() -> str:
 
 @query(_result_sql())
 def pipeline_result_errors(spark, sf_dir):
-    t = run_sql(spark, sf_dir, RESULT_TEXTS).withColumn("r", F.try_parse_json("result_json"))
+    t = spread_sql(spark, sf_dir, RESULT_TEXTS).withColumn("r", F.try_parse_json("result_json"))
     return t.select("event_id", F.array_join(C.result_errors(F.col("r")), "|").alias("errors"))
 
 
