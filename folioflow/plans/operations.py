@@ -70,7 +70,7 @@ def _rows(values: list[tuple]) -> str:
 def preflight_failures(spark, sf_dir):
     k = F.col("c_custkey") % len(CHANGES)
     names, values = F.array(*(F.lit(n) for n, *_ in CHANGES)), F.array(*(F.lit(v).cast("string") for _, v, _ in CHANGES))
-    t = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(names, (k + 1).cast("int")).alias("_n"), F.element_at(values, (k + 1).cast("int")).alias("_v"))
+    t = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.element_at(names, (k + 1).cast("int")).alias("_n"), F.element_at(values, (k + 1).cast("int")).alias("_v"))
     good = F.map_filter(F.create_map(*(F.lit(x) for kv in GOOD.items() for x in kv)), lambda n, v: n != F.col("_n"))
     settings = F.when(F.col("_v").isNull(), good).otherwise(F.map_concat(good, F.create_map("_n", "_v")))
     t = t.select(F.col("c_custkey").alias("config"), settings.alias("settings"))

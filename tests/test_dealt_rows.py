@@ -15,3 +15,7 @@ def test_paths_into_a_result_are_bound_once(spark):
 @pytest.mark.parametrize("name", ["pipeline_result_errors", "extraction_payload", "validation_payload"])
 def test_results_are_dealt_over_all_cores(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_configurations_are_dealt_over_all_cores(spark, sf_dir):
+    assert entry.queries()["preflight_failures"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
