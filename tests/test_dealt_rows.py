@@ -19,3 +19,8 @@ def test_results_are_dealt_over_all_cores(spark, sf_dir, name):
 
 def test_configurations_are_dealt_over_all_cores(spark, sf_dir):
     assert entry.queries()["preflight_failures"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_drill_rows_are_counted_before_they_meet_the_steps(spark, sf_dir):
+    plan = entry.queries()["drill_mismatches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.index("BroadcastHashJoin") < plan.index("HashAggregate")
