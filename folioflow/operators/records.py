@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioflow import schemas as S
 from folioflow.functions import canonical as J
-from folioflow.functions.text import csv_set, number_or, strip
+from folioflow.functions.text import csv_set, let, number_or, strip
 
 
 # -- review ------------------------------------------------------------------------
@@ -145,22 +145,26 @@ def receipt_key(job: Column, kind: str, id_: Column) -> Column:
 # -- evaluation --------------------------------------------------------------------
 def evaluation_metrics(ocr: Column, extraction: Column, model: Column, review: Column, status: Column, fields: Column, populated: Column, custom: Column) -> Column:
     """Metrics of one run as a map; unreadable numbers count as 0, absent counts are left out, custom ones (a map of texts) win."""
-    a, b = number_or(ocr), number_or(extraction)
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    own = {
-        "ocr_confidence": a, "extraction_confidence": b, "confidence_mean": F.round((a + b) / 2, 6), "confidence_gap": F.round(F.abs(a - b), 6),
-        "used_vlm_fallback": one(model), "requires_human_review": one(review), "outcome_delivered": one(status == "delivered"),
-        "outcome_pending_human_review": one(status == "pending_human_review"), "outcome_failed": one(status == "failed"),
-        "field_count": fields.cast("double"), "populated_field_count": populated.cast("double"),
-        "field_completeness": F.when((fields > 0) & populated.isNotNull(), F.round(F.least(F.lit(1.0), populated / fields), 6)),
-    }
-    base = F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v)))
+
+    def of(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        own = {
+            "ocr_confidence": a, "extraction_confidence": b, "confidence_mean": F.round((a + b) / 2, 6), "confidence_gap": F.round(F.abs(a - b), 6),
+            "used_vlm_fallback": one(model), "requires_human_review": one(review), "outcome_delivered": one(status == "delivered"),
+            "outcome_pending_human_review": one(status == "pending_human_review"), "outcome_failed": one(status == "failed"),
+            "field_count": fields.cast("double"), "populated_field_count": populated.cast("double"),
+            "field_completeness": F.when((fields > 0) & populated.isNotNull(), F.round(F.least(F.lit(1.0), populated / fields), 6)),
+        }
+        return F.create_map(*(y for k, v in own.items() for y in (F.lit(k), v)))
+
+    base = let(F.struct(number_or(ocr).alias("a"), number_or(extraction).alias("b")), of)
     return overlaid(F.map_filter(base, lambda k, v: v.isNotNull()), F.transform_values(custom, lambda k, v: number_or(v)))
 
 
 def overlaid(base: Column, more: Column) -> Column:
-    """Two maps in one; the second wins."""
-    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(more, k)), more)
+    """Two maps in one; the second wins. It is made once, not again for every key of the first."""
+    return let(more, lambda m: F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(m, k)), m))
 
 
 def run_parameters(defaults: Column, given: Column) -> Column:

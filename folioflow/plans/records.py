@@ -10,7 +10,7 @@ from folioflow.operators import contracts as C
 from folioflow.operators import outcome
 from folioflow.operators import records as R
 from folioflow.plans.register import registry
-from folioflow.sources.tables import plain_sql, run_sql, table
+from folioflow.sources.tables import plain_sql, run_sql, spread_sql, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -180,7 +180,7 @@ m AS (SELECT event_id, unnest([struct_pack(k := 'ocr_confidence', v := a), struc
  struct_pack(k := 'field_completeness', v := CASE WHEN fields > 0 AND populated IS NOT NULL THEN round(least(1.0, populated / cast(fields AS double)), 6) END), struct_pack(k := 'custom', v := CASE WHEN event_id % 2 = 0 THEN 0.0 END)]) AS x FROM c)
 SELECT event_id, x.k AS metric, x.v AS value FROM m WHERE x.v IS NOT NULL""")
 def evaluation_run_metrics(spark, sf_dir):
-    t = run_sql(spark, sf_dir, RUNS)
+    t = spread_sql(spark, sf_dir, RUNS)
     custom = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("confidence_mean"), F.lit("7"), F.lit("custom"), F.lit("inf"))).otherwise(F.create_map().cast("map<string,string>"))
     m = R.evaluation_metrics(F.col("ocr"), F.col("extraction"), F.col("event_id") % 2 == 0, F.col("status") == "pending_human_review", F.col("status"), F.col("fields"), F.col("populated"), custom)
     return t.select("event_id", F.explode(m).alias("metric", "value"))
