@@ -51,29 +51,45 @@ def receipts(rows: DataFrame, split: str = "validation", offset: int = 0, limit:
 # -- sample metrics -----------------------------------------------------------------------
 def sample_metrics(df: DataFrame) -> DataFrame:
     """One row of scores a sample. df: expected_route, expected_fields, expected_text, expected_verdict, answer (a variant, the result response), runtime_status, latency, errors (a list)."""
-    r = C.part(F.col("answer"), "result")
-    got = {s: C.part(r, s) for s in ("extraction", "validation", "classification", "ocr")}
-    route = F.coalesce(*(F.nullif(C.text(got[s], "route"), F.lit("")) for s in ("extraction", "validation", "classification")), F.lit("unknown"))
-    fields = F.when(C.kind(C.part(got["extraction"], "fields")) == "object", F.try_variant_get(got["extraction"], "$.fields", "map<string,string>"))
-    t = df.withColumn("_c", Q.compare_fields(F.col("expected_fields"), F.coalesce(fields, F.create_map().cast("map<string,string>")))).withColumnRenamed("_c", "c")
+    # an answer is looked into once a row, in one struct
+    t = df.withColumn("_g", X.let(C.part(F.col("answer"), "result"), _answered))
+    t = t.withColumn("c", Q.compare_fields(F.col("expected_fields"), F.coalesce("_g.fields", F.create_map().cast("map<string,string>"))))
     t = Q.scores(t)
-    t = X.error_rates(t.withColumn("_read", F.coalesce(C.text(got["ocr"], "full_text"), F.lit(""))), "expected_text", "_read")
-    verdict = F.coalesce(F.nullif(C.text(got["validation"], "verdict"), F.lit("")), F.lit("unknown"))
-    review = truthy(C.part(got["validation"], "requires_human_review"))
+    t = X.error_rates(t.withColumn("_read", F.col("_g.read")), "expected_text", "_read")
+    verdict, review, route = F.col("_g.verdict"), F.col("_g.review"), F.col("_g.route")
     expected = X.strip(F.coalesce("expected_verdict", F.lit("")))
     right = F.when(expected != "", verdict == expected).otherwise(review == (F.col("field_f1") < 1.0))
     return t.select(
-        *df.columns, "c", "field_precision", "field_recall", "field_f1", F.coalesce(F.nullif(C.text(r, "status"), F.lit("")), F.col("runtime_status")).alias("final_status"),
-        route.alias("predicted_route"), (route == F.col("expected_route")).alias("route_match"), F.coalesce(C.number(got["ocr"], "mean_confidence"), F.lit(0.0)).alias("ocr_confidence"),
-        F.coalesce(C.number(got["extraction"], "confidence"), F.lit(0.0)).alias("extraction_confidence"), F.col("cer").alias("ocr_cer"), F.col("wer").alias("ocr_wer"),
+        *df.columns, "c", "field_precision", "field_recall", "field_f1", F.coalesce("_g.status", "runtime_status").alias("final_status"),
+        route.alias("predicted_route"), (route == F.col("expected_route")).alias("route_match"), F.coalesce("_g.ocr", F.lit(0.0)).alias("ocr_confidence"),
+        F.coalesce("_g.extraction", F.lit(0.0)).alias("extraction_confidence"), F.col("cer").alias("ocr_cer"), F.col("wer").alias("ocr_wer"),
         review.alias("requires_review"), F.when(expected != "", "explicit_verdict").otherwise("field_correctness").alias("expectation"), right.alias("validation_correct"), (F.size("errors") == 0).alias("contract_passed"),
     )
 
 
+def _answered(result: Column) -> Column:
+    """What the scores read of a result: status, route, fields, read, verdict, review and the two confidences."""
+
+    def of(got: Column) -> Column:
+        route = F.coalesce(*(F.nullif(C.text(got[s], "route"), F.lit("")) for s in ("extraction", "validation", "classification")), F.lit("unknown"))
+        fields = X.let(C.part(got["extraction"], "fields"), lambda v: F.when(C.kind(v) == "object", F.try_variant_get(v, "$", "map<string,string>")))
+        return F.struct(
+            F.nullif(got["status"], F.lit("")).alias("status"), route.alias("route"), fields.alias("fields"), F.coalesce(C.text(got["ocr"], "full_text"), F.lit("")).alias("read"),
+            F.coalesce(F.nullif(C.text(got["validation"], "verdict"), F.lit("")), F.lit("unknown")).alias("verdict"), truthy(C.part(got["validation"], "requires_human_review")).alias("review"),
+            C.number(got["ocr"], "mean_confidence").alias("ocr"), C.number(got["extraction"], "confidence").alias("extraction"),
+        )
+
+    return X.let(F.struct(C.text(result, "status").alias("status"), *(C.part(result, s).alias(s) for s in ("extraction", "validation", "classification", "ocr"))), of)
+
+
 def truthy(v: Column) -> Column:
     """What counts as yes: true, a number that is not 0, any text or list that is not empty."""
-    k, t = C.kind(v), F.try_variant_get(v, "$", "string")
-    return F.coalesce(F.when(k == "boolean", t == "true").when(k == "number", F.try_variant_get(v, "$", "double") != 0).when(k == "string", t != "").when(k.isin("object", "array"), ~t.isin("{}", "[]")), F.lit(False))
+
+    def of(x: Column) -> Column:
+        k, t = x["k"], x["t"]
+        return F.coalesce(F.when(k == "boolean", t == "true").when(k == "number", F.try_variant_get(x["v"], "$", "double") != 0).when(k == "string", t != "").when(k.isin("object", "array"), ~t.isin("{}", "[]")), F.lit(False))
+
+    return X.let(v, lambda v: X.let(F.struct(v.alias("v"), C.kind(v).alias("k"), F.try_variant_get(v, "$", "string").alias("t")), of))
 
 
 # -- thresholds ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.operators import benchmark as B
 from folioflow.plans import analytics as A
 from folioflow.plans.register import registry
-from folioflow.sources.tables import plain_sql, run_sql
+from folioflow.sources.tables import plain_sql, run_sql, spread_sql
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -60,7 +60,7 @@ v AS (SELECT *, CASE WHEN none THEN 'unknown' WHEN event_id % 4 = 0 THEN 'receip
  CASE WHEN expected_text = '' THEN NULL WHEN none THEN 1.0 ELSE round(4 / cast(19 AS double), 6) END AS ocr_cer, CASE WHEN expected_text = '' THEN NULL WHEN none THEN 1.0 ELSE cast(0.5 AS double) END AS ocr_wer, review AS requires_review,
  CASE WHEN event_id % 4 = 0 THEN 'explicit_verdict' ELSE 'field_correctness' END AS expectation, CASE WHEN event_id % 4 = 0 THEN verdict = 'auto_approved' ELSE review = (f1 < 1) END AS validation_correct, event_id % 10 <> 0 AS contract_passed FROM v""")
 def sample_metrics(spark, sf_dir):
-    t = run_sql(spark, sf_dir, ANSWERS).withColumn("answer", F.try_parse_json("answer_json")).withColumn("expected_fields", F.create_map(F.lit("total_amount"), F.lit("33.000"), F.lit("merchant_name"), F.lit("Acme Cafe"), F.lit("line_item_count"), F.lit("2")))
+    t = spread_sql(spark, sf_dir, ANSWERS).withColumn("answer", F.try_parse_json("answer_json")).withColumn("expected_fields", F.create_map(F.lit("total_amount"), F.lit("33.000"), F.lit("merchant_name"), F.lit("Acme Cafe"), F.lit("line_item_count"), F.lit("2")))
     t = t.withColumn("errors", F.when(F.col("event_id") % 10 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")))
     m = B.sample_metrics(t.drop("answer_json"))
     return m.select("event_id", "predicted_route", "route_match", "field_f1", "extraction_confidence", "ocr_confidence", "ocr_cer", "ocr_wer", "requires_review", "expectation", "validation_correct", "contract_passed")

@@ -24,3 +24,8 @@ def test_configurations_are_dealt_over_all_cores(spark, sf_dir):
 def test_drill_rows_are_counted_before_they_meet_the_steps(spark, sf_dir):
     plan = entry.queries()["drill_mismatches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.index("BroadcastHashJoin") < plan.index("HashAggregate")
+
+
+@pytest.mark.parametrize("name", ["evaluation_run_metrics", "sample_metrics"])
+def test_samples_and_runs_are_dealt_over_all_cores(spark, sf_dir, name):
+    assert entry.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
