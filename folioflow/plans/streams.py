@@ -85,7 +85,9 @@ def stream_dedupe_24h(spark, sf_dir):
 @query("WITH e AS (SELECT event_id AS id, event_type, epoch(ts)::bigint AS tm, coalesce(value > 60, false) AS bad FROM events), t AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY tm, id ROWS UNBOUNDED PRECEDING) AS turn FROM e), s AS (SELECT *, min(CASE WHEN bad THEN tm END) OVER (PARTITION BY event_type, turn) AS since FROM t) SELECT id, CASE WHEN NOT bad THEN 'inactive' WHEN tm - since >= 1800 THEN 'firing' ELSE 'pending' END AS state FROM s")
 def stream_alert_state(spark, sf_dir):
     s = ST.source(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "ts", F.coalesce(F.col("value") > 60, F.lit(False)).alias("bad"))
-    return ST.drain(ST.alerts(s, 1800, "event_type"))
+    base = f"{scratch(spark)}/alert-state-{uuid.uuid4().hex}"
+    ST.alerts(s, base, 1800, "event_type")
+    return ST.given(spark, "id long, state string", base).drop("batch")
 
 
 @query("SELECT DISTINCT 'evt-' || cast(user_id AS varchar) || '-' || event_type AS event_key FROM events")

@@ -155,3 +155,32 @@ def test_rates_with_resets_over_batches(spark):
         streams.advance(series.rates(samples, 20, ["s"]), base)
     got = sorted((r.id, r.rate) for r in streams.given(spark, "s string, id long, at long, rate double", base).collect() if r.id != 5)
     assert got == [(1, None), (2, 0.4), (3, 0.3), (4, 0.2), (6, None)]
+
+
+def test_alert_states_over_slots_and_starts_need_no_python(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from folioflow.streaming import streams
+
+    rng, rows = random.Random(6), []
+    for k in range(600):
+        at = k * 700 + rng.randrange(5)
+        for key in ("a", None, "b"):
+            # a: short and long runs; b: bad through most slots; rows of one second go by id
+            bad = {"a": rng.random() < 0.8, "b": rng.random() < 0.99, None: rng.random() < 0.5}[key]
+            rows += [(len(rows), key, at, bad)] + [(len(rows) + 1, key, at, not bad)] * (k % 50 == 7)
+    expected, since = {}, {}
+    for part in (rows[:900], rows[900:]):
+        for i, key, at, bad in sorted(part, key=lambda r: (r[2], r[0])):
+            since[key] = (at if since.get(key) is None else since[key]) if bad else None
+            expected[i] = "inactive" if not bad else "firing" if at - since[key] >= 1800 else "pending"
+    base = str(tmp_path)
+    for part in (rows[:900], rows[900:]):
+        t = spark.createDataFrame(part, "id long, k string, at long, bad boolean").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        t.write.mode("append").parquet(f"{base}/in")
+        s = spark.readStream.schema(t.schema).parquet(f"{base}/in")
+        streams.alerts(s, f"{base}/run", 1800, "k")
+    got = streams.given(spark, "id long, state string", f"{base}/run")
+    assert {r.id: r.state for r in got.collect()} == expected and got.count() == len(rows)
