@@ -10,7 +10,7 @@ from folioflow.operators import ingest as I
 from folioflow.plans.intake import J
 from folioflow.plans.intake import ORACLE_SQL as INTAKE_SQL
 from folioflow.sources.files import keep, scratch
-from folioflow.sources.tables import plain_sql, run_sql, table
+from folioflow.sources.tables import plain_sql, run_sql, spread, table
 from folioflow.streaming import intake as IN
 from folioflow.streaming import series as SE
 from folioflow.streaming import streams as ST
@@ -40,9 +40,9 @@ def deliveries(df, by, parts=4):
 
 
 def delivered(spark, df, base, second=F.unix_seconds):
-    """A table of events as such a stream; every step has it written one part further. second: of a time, so that no second is in two parts."""
-    for part, schema in deliveries(df, second(F.col("ts"))):
-        part.coalesce(2).write.mode("append").parquet(f"{base}/in")
+    """A table of events as such a stream; every step has it written one part further, by all cores. second: of a time, so that no second is in two parts."""
+    for part, schema in deliveries(spread(df), second(F.col("ts"))):
+        part.write.mode("append").parquet(f"{base}/in")
         yield spark.readStream.schema(schema).parquet(f"{base}/in")
 
 
@@ -53,7 +53,7 @@ def jobs(e):
 
 
 def timed(spark, sf_dir):
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").drop("props").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
