@@ -116,10 +116,10 @@ def detected(items: DataFrame, least: float = S.SETTINGS.layout_min_score) -> Da
 
 def page_blocks(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """Line blocks, and for pages without any one block of the whole page. pages: job_id, width, height; lines: job_id, id, x1..y2, clamped here."""
-    page = pages.join(lines.select("job_id").distinct(), "job_id", "left_anti")
-    whole = page.select("job_id", F.lit("b0000").alias("id"), F.lit("page").alias("type"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"), F.lit(0.5).alias("score"), F.lit("heuristic_page").alias("source"))
-    own = lines.join(pages, "job_id").select("job_id", "id", F.lit("text").alias("type"), "x1", "y1", F.least("x2", "width").alias("x2"), F.least("y2", "height").alias("y2"), F.lit(0.65).alias("score"), F.lit("heuristic_ocr_line").alias("source"))
-    return own.unionByName(whole)
+    t, line = pages.join(lines, "job_id", "left"), F.col("id").isNotNull()
+    of = lambda own, whole: F.when(line, own).otherwise(whole)
+    box = [of(F.col("x1"), F.lit(0)).alias("x1"), of(F.col("y1"), F.lit(0)).alias("y1"), of(F.least("x2", "width"), F.col("width")).alias("x2"), of(F.least("y2", "height"), F.col("height")).alias("y2")]
+    return t.select("job_id", F.coalesce("id", F.lit("b0000")).alias("id"), of(F.lit("text"), F.lit("page")).alias("type"), *box, of(F.lit(0.65), F.lit(0.5)).alias("score"), of(F.lit("heuristic_ocr_line"), F.lit("heuristic_page")).alias("source"))
 
 
 def block_types(blocks: Column) -> Column:

@@ -46,8 +46,8 @@ def line_blocks(tokens: DataFrame, tolerance: float = S.SETTINGS.layout_y_tolera
     return t.select("job_id", "line", F.format_string("b%04d", F.col("line")).alias("id"), F.col("l.n").alias("n"), F.greatest(F.lit(0), F.col("l.x1") - pad).alias("x1"), F.greatest(F.lit(0), F.col("l.y1") - pad).alias("y1"), (F.col("l.x2") + pad).alias("x2"), (F.col("l.y2") + pad).alias("y2"), F.col("l.text").alias("text"))
 
 
-def assign(tokens: DataFrame, blocks: DataFrame, least: float = S.SETTINGS.layout_min_overlap) -> DataFrame:
-    """Pairs (token, block) of one page: the block covers enough of the token, or holds its centre.
+def assign(tokens: DataFrame, blocks: DataFrame, least: float = S.SETTINGS.layout_min_overlap, how: str = "inner") -> DataFrame:
+    """Pairs (token, block) of one page: the block covers enough of the token, or holds its centre. how: left also gives tokens that no block took, without an id.
 
     The page key is an equality, so Spark hashes or merges on it and the
     geometry is a residual condition.
@@ -57,13 +57,13 @@ def assign(tokens: DataFrame, blocks: DataFrame, least: float = S.SETTINGS.layou
     h = F.greatest(F.lit(0), F.least("t.y2", "b.y2") - F.greatest("t.y1", "b.y1"))
     area = (F.col("t.x2") - F.col("t.x1")) * (F.col("t.y2") - F.col("t.y1"))
     inside = F.col("t.cx").between(F.col("b.x1"), F.col("b.x2")) & F.col("t.cy").between(F.col("b.y1"), F.col("b.y2"))
-    return t.join(b, (F.col("t.job_id") == F.col("b.job_id")) & ((w * h / area >= least) | inside)).select("t.job_id", "b.id", "t.index", "t.text", "t.confidence", F.col("t.y1").alias("ty"), F.col("t.x1").alias("tx"))
+    return t.join(b, (F.col("t.job_id") == F.col("b.job_id")) & ((w * h / area >= least) | inside), how).select("t.job_id", "b.id", "t.index", "t.text", "t.confidence", F.col("t.y1").alias("ty"), F.col("t.x1").alias("tx"))
 
 
-def block_texts(pairs: DataFrame) -> DataFrame:
-    """Tokens, their text in reading order and mean confidence per block."""
+def block_texts(pairs: DataFrame, *more: Column) -> DataFrame:
+    """Tokens, their text in reading order and mean confidence per block, and more aggregates."""
     words = F.transform(F.array_sort(F.collect_list(F.struct("ty", "tx", "index", "text"))), lambda x: x["text"])
-    return pairs.groupBy("job_id", "id").agg(F.count("*").alias("token_count"), F.array_join(words, " ").alias("text"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return pairs.groupBy("job_id", "id").agg(F.count("*").alias("token_count"), F.array_join(words, " ").alias("text"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), *more)
 
 
 def unassigned(tokens: DataFrame, pairs: DataFrame) -> DataFrame:

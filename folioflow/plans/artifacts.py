@@ -11,6 +11,7 @@ from folioflow.operators import layout as L
 from folioflow.plans import intake as I
 from folioflow.plans import oracle as O
 from folioflow.plans.register import registry
+from folioflow.sources.files import keep
 from folioflow.sources.tables import CORPUS, corpus, plain_sql, run_sql, table
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -119,11 +120,16 @@ o AS (SELECT blk.job_id, blk.id, row_number() OVER (PARTITION BY blk.job_id ORDE
 s AS (SELECT job_id, count(*) AS blocks, count(text) AS zones, string_agg(text, chr(10) ORDER BY r) AS full_text FROM o GROUP BY job_id)
 SELECT s.job_id, (blocks + CASE WHEN rest.k IS NULL THEN 0 ELSE 1 END)::int AS block_count, (zones + CASE WHEN rest.k IS NULL THEN 0 ELSE 1 END)::int AS text_zone_count, coalesce(rest.k, 0)::int AS left_over, coalesce(full_text, '') AS full_text FROM s LEFT JOIN rest ON s.job_id = rest.job_id""")
 def layout_analysis(spark, sf_dir):
-    tokens, blocks = I.tokens(spark, sf_dir), page_blocks_of(spark, sf_dir)
-    pairs = L.assign(tokens, blocks)
-    texts, rest = L.block_texts(pairs), L.unassigned(tokens, pairs).select("job_id", F.col("token_count").alias("_rest"))
-    one = L.reading_order(blocks).join(texts.select("job_id", "id", "text"), ["job_id", "id"], "left")
-    page = one.groupBy("job_id").agg(F.collect_list(F.struct("type", "reading_order", "text")).alias("blocks")).join(rest, "job_id", "left")
+    # lines are folded once, tokens meet blocks once: both are read several times
+    tokens, blocks = I.tokens(spark, sf_dir), keep(page_blocks_of(spark, sf_dir).select("job_id", "id", "type", "x1", "y1", "x2", "y2"), "layout-blocks")
+    found = L.block_texts(L.assign(tokens, blocks, how="left"), F.collect_list("index").alias("places")).select("job_id", F.struct("id", "text", "token_count", "places").alias("of"))
+    found = found.groupBy("job_id").agg(F.collect_list("of").alias("found"))
+    page = blocks.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "id", "type"))).alias("own")).join(found, "job_id", "left")
+    taken, left = F.filter("found", lambda f: f["id"].isNotNull()), F.get(F.filter("found", lambda f: f["id"].isNull()), F.lit(0))
+    page = page.withColumn("_text", F.map_from_entries(F.transform(taken, lambda f: F.struct(f["id"], f["text"])))).withColumn("_places", F.flatten(F.transform(taken, lambda f: f["places"]))).withColumn("_left", left)
+    # a token that shares its index with one that a block took is not left over
+    page = page.withColumn("_rest", F.nullif(F.col("_left.token_count") - F.size(F.filter("_left.places", lambda i: F.array_contains("_places", i))), F.lit(0)))
+    page = page.withColumn("blocks", F.transform("own", lambda b, k: F.struct(b["type"].alias("type"), k.alias("reading_order"), F.try_element_at("_text", b["id"]).alias("text"))))
     more = F.when(F.col("_rest").isNull(), 0).otherwise(1)
     zones = F.size(F.filter("blocks", lambda b: F.coalesce(b["text"], F.lit("")) != ""))
     return page.select("job_id", (F.size("blocks") + more).alias("block_count"), (zones + more).alias("text_zone_count"), F.coalesce("_rest", F.lit(0)).cast("int").alias("left_over"), A.layout_text(F.col("blocks")).alias("full_text"))

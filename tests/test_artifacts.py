@@ -133,3 +133,11 @@ def test_thresholds_and_tables(spark, tmp_path):
     lifecycle.ensure_tables(spark, "life")
     assert spark.table("life.ingestion_jobs").columns[:4] == ["job_id", "tenant_id", "source", "status"] and spark.table("life.ingestion_audit_events").count() == 0
     spark.sql("DROP DATABASE life CASCADE")
+
+
+def test_layout_analysis_reads_its_tokens_once_beside_kept_blocks(spark, sf_dir):
+    from folioflow.plans import artifacts
+
+    plan = artifacts.layout_analysis(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert sum("FileScan" in line and "l_linenumber" in line for line in plan.splitlines()) == 1
+    assert "aggregate(" not in plan  # lines are not folded again
